@@ -10,7 +10,8 @@ from .text import let, sentences, word_count
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """Null stays null: greatest and least alone would skip it."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def ai_signal(value: Column, low: float | Column, high: float | Column) -> Column:

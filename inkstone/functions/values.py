@@ -16,14 +16,23 @@ def parse_number(c: Column) -> Column:
     return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
 
 
-def scaled_value(line: Column, pattern: str, shift: int) -> Column:
-    """``struct<value, unit, scale_word>`` of a matched line, null if unmatched.
+def matched_groups(line: Column, pattern: str, n: int) -> Column:
+    """The groups of a whole-line pattern as an array; null where it fails.
+
+    One replacement run gives all groups at once, instead of one match each.
+    """
+    marked = F.regexp_replace(line, pattern, "\x01" + "\x01".join(f"${i}" for i in range(1, n + 1)))
+    return let(F.split(marked, "\x01"), lambda g: F.when(F.size(g) == n + 1, F.slice(g, F.lit(2), F.lit(n))))
+
+
+def scaled_value(groups: Column, shift: int) -> Column:
+    """``struct<value, unit, scale_word>`` from matched groups, null if no number.
 
     ``shift`` is the number of groups before the currency group.
     """
 
     def group(i: int) -> Column:
-        return F.regexp_extract(line, pattern, shift + i)
+        return F.element_at(groups, shift + i)
 
     number = F.translate(group(2), ",", "").try_cast("double")
     scale = F.lower(group(3))
@@ -37,7 +46,7 @@ def scaled_value(line: Column, pattern: str, shift: int) -> Column:
         F.when(pct, "%").when(scaled, "scaled").otherwise("plain").alias("unit"),
         F.when(~pct & (scale != ""), scale).alias("scale_word"),
     )
-    return F.when(line.rlike(pattern) & number.isNotNull(), out)
+    return F.when(groups.isNotNull() & number.isNotNull(), out)
 
 
 def is_time_label(c: Column) -> Column:

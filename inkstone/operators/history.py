@@ -26,30 +26,31 @@ def recent_history(history: DataFrame, k: int = 4) -> DataFrame:
     return history_sorted(history).limit(k)
 
 
-def dashboard_stats(history: DataFrame) -> DataFrame:
-    """All counts and averages in one pass."""
+def _totals() -> list[Column]:
     kind, ai = F.col("analysis_type"), F.col("ai_probability")
-    return history.agg(
+    return [
         F.count("*").alias("total_analyses"),
         F.count_if(kind == "text").alias("text_analyses"), F.count_if(kind == "image").alias("image_analyses"),
         F.count_if(ai >= L.AI_AT).alias("ai_flagged"),
         F.coalesce(F.round(F.avg("similarity_score"), 1), F.lit(0.0)).alias("average_similarity"),
         F.coalesce(F.round(F.avg(ai), 1), F.lit(0.0)).alias("average_ai_probability"),
-    )
+    ]
 
 
-def weekly_delta(history: DataFrame, now: Column) -> DataFrame:
-    """This week against the one before; a delta is null where either is missing."""
-    ts = F.col("created_at")
-    week = F.expr("INTERVAL 7 DAYS")
+def _weeks(now: Column) -> list[Column]:
+    ts, week = F.col("created_at"), F.expr("INTERVAL 7 DAYS")
     cur, prev = ts >= now - week, (ts >= now - week - week) & (ts < now - week)
     avg = lambda c, when: F.round(F.avg(F.when(when, F.col(c))), 1)
-    out = history.agg(
+    return [
         F.count_if(cur).alias("scans_this_week"), F.count_if(prev).alias("scans_prev_week"),
         avg("ai_probability", cur).alias("avg_ai_this_week"), avg("ai_probability", prev).alias("avg_ai_prev_week"),
         avg("similarity_score", cur).alias("avg_similarity_this_week"),
         avg("similarity_score", prev).alias("avg_similarity_prev_week"),
-    )
+    ]
+
+
+def _with_deltas(out: DataFrame) -> DataFrame:
+    """A delta is null where either week has no value."""
     return out.select(
         "*",
         F.round(F.col("avg_ai_this_week") - F.col("avg_ai_prev_week"), 1).alias("ai_delta"),
@@ -57,6 +58,21 @@ def weekly_delta(history: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def dashboard_stats(history: DataFrame) -> DataFrame:
+    """All counts and averages in one pass."""
+    return history.agg(*_totals())
+
+
+def weekly_delta(history: DataFrame, now: Column) -> DataFrame:
+    """The last seven days against the seven before them."""
+    return _with_deltas(history.agg(*_weeks(now)))
+
+
+def history_overview(history: DataFrame, now: Column) -> DataFrame:
+    """Totals and weekly trend from one scan, in one row."""
+    return _with_deltas(history.agg(*_totals(), *_weeks(now)))
+
+
 def delete_history(history: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given ids: chunks go with their record."""
     return (

@@ -251,14 +251,13 @@ def _first_by_label(pairs: DataFrame, id_col: str) -> DataFrame:
 
 def kv_pairs_same_line(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``Label: value`` lines as (label, value, unit, scale_word)."""
-    rows = df.select(id_col, F.posexplode(T.lines(F.col(text))).alias("line_no", "raw"))
-    rows = rows.select(id_col, "line_no", T.strip(F.col("raw")).alias("line")).filter(
-        F.col("line").rlike(L.PAIR_LINE_PATTERN)
-    )
-    pairs = rows.select(
-        id_col, "line_no",
-        T.strip(F.regexp_extract("line", L.PAIR_LINE_PATTERN, 1)).alias("label"),
-        V.scaled_value(F.col("line"), L.PAIR_LINE_PATTERN, 1).alias("v"),
+    stripped = F.transform(T.lines(F.col(text)), T.strip)
+    rows = df.select(id_col, F.posexplode(stripped).alias("line_no", "line"))
+    # Every pair has a digit and a delimiter: a cheap test before the pattern.
+    rows = rows.filter(F.col("line").rlike("[0-9]") & F.col("line").rlike("[:=–—\t]"))
+    hits = rows.withColumn("g", V.matched_groups(F.col("line"), L.PAIR_LINE_PATTERN, 5)).filter("g IS NOT NULL")
+    pairs = hits.select(
+        id_col, "line_no", T.strip(F.element_at("g", 1)).alias("label"), V.scaled_value(F.col("g"), 1).alias("v")
     ).filter(F.col("v").isNotNull() & (F.col("label") != ""))
     return _first_by_label(pairs.select(id_col, "line_no", "label", "v.*"), id_col)
 
@@ -275,13 +274,13 @@ def kv_pairs_adjacent_line(df: DataFrame, id_col: str = "doc_id", text: str = "t
 
     stripped = F.filter(F.transform(T.lines(F.col(text)), T.strip), lambda s: s != "")
     rows = df.select(id_col, F.posexplode(T.let(stripped, couple)).alias("line_no", "p"))
-    hits = rows.filter(
-        F.col("p.above").rlike(L.LABEL_LINE_PATTERN) & F.col("p.below").rlike(L.VALUE_LINE_PATTERN)
-    )
+    rows = rows.filter(F.col("p.below").rlike("[0-9]"))
+    hits = rows.select(
+        id_col, "line_no", V.matched_groups(F.col("p.above"), L.LABEL_LINE_PATTERN, 1)[0].alias("label"),
+        V.matched_groups(F.col("p.below"), L.VALUE_LINE_PATTERN, 4).alias("g"),
+    ).filter("label IS NOT NULL AND g IS NOT NULL")
     pairs = hits.select(
-        id_col, "line_no",
-        T.strip(F.regexp_extract("p.above", L.LABEL_LINE_PATTERN, 1)).alias("label"),
-        V.scaled_value(F.col("p.below"), L.VALUE_LINE_PATTERN, 0).alias("v"),
+        id_col, "line_no", T.strip(F.col("label")).alias("label"), V.scaled_value(F.col("g"), 0).alias("v")
     ).filter(F.col("v").isNotNull() & (F.col("label") != ""))
     return _first_by_label(pairs.select(id_col, "line_no", "label", "v.*"), id_col)
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
-from ..operators import history as H
 from ..operators import opinions as O
 
 RESULT_SCHEMA = """
@@ -38,11 +37,6 @@ def evaluate_detector(samples: DataFrame, scores: DataFrame, k: int | None = Non
     return groups.unionByName(total)
 
 
-def history_overview(history: DataFrame, now: Column) -> DataFrame:
-    """Totals and the weekly trend in one row."""
-    return H.dashboard_stats(history).crossJoin(H.weekly_delta(history, now))
-
-
 def result_struct(text: Column) -> Column:
     """The stored result as a struct; malformed text gives an empty one."""
     return F.from_json(F.coalesce(text, F.lit("{}")), RESULT_SCHEMA)

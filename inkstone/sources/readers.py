@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import glob as _glob
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +129,3 @@ def read_corpus(chunks: DataFrame, history: DataFrame) -> DataFrame:
 
     return chunk_history_join(chunks, history).withColumn("kind", F.lit("submission"))
 
-
-def local_files(path: str) -> list[str]:
-    """Files of a local folder, for tests."""
-    return sorted(_glob.glob(os.path.join(path, "*")))
