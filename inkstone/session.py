@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch tables written so far, oldest first: (folder, application id).
+_written: list[tuple[str, str]] = []
+
 
 def build_session(app: str = "inkstone", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the plans are written for.
 
     On a cluster leave ``master`` unset and let spark-submit decide; shuffle
-    partitions then come from AQE coalescing a high initial number.
+    partitions then come from AQE coalescing a high initial number. Name the
+    shared scratch folder in ``spark.checkpoint.dir``.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -29,17 +35,45 @@ def build_session(app: str = "inkstone", master: str | None = None, **conf) -> S
     return b.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder named by spark.checkpoint.dir.
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a temporary
-    folder used instead.
+    Where it is unset a folder of this machine is made, but only if the session
+    runs on this machine alone (master ``local``); elsewhere executors would
+    not see each other's files, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if base:
+        return base.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared folder."""
+    path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((path, spark.sparkContext.applicationId))
+    return path
+
+
+def drop_scratch(spark: SparkSession, keep: int = 0) -> int:
+    """Delete this application's scratch folders but the first ``keep``; the number that stay.
+
+    Call it when the results that read them have been written.
+    """
+    own = [x for x in _written if x[1] == spark.sparkContext.applicationId]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for x in own[keep:]:
+        path = jvm.org.apache.hadoop.fs.Path(x[0])
+        path.getFileSystem(conf).delete(path, True)
+        _written.remove(x)
+    return min(keep, len(own))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,5 +83,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lost executor re-reads files, and the reader sees real column statistics.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
