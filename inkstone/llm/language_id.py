@@ -14,11 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.grams import hashed_grams, pieces, split_words, word_sums
-from inkstone.llm.shared import table
+from inkstone.llm.shared import bounded_sample, table
 
 LOW, HIGH, BITS = 1, 4, 18
 SCALE = 50.0
@@ -87,8 +87,7 @@ def train_language_model(
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if held_out is not None:
         rows = rows.where(fold(folds) != held_out)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = rows.withColumn("place", place).where(F.col("place") <= rows_per_language).select("lang", "text", "place")
+    sample = bounded_sample(rows, "lang", ["doc_id", "text"], rows_per_language).select("lang", "text", "place")
     got = sample.mapInPandas(_gram_counts, "lang string, place int, buckets array<int>, counts array<int>").collect()
     got.sort(key=lambda r: (r["place"], r["lang"]))
     langs = sorted({r["lang"] for r in got})

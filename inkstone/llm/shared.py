@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are neither blank nor tab to carriage return.
@@ -51,3 +51,18 @@ def running_starts(sizes: Column, block: int = 256) -> Column:
     last = F.floor((F.size(sizes) - 1) / F.lit(block)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(longs, i * block + 1, F.lit(block)))
     return F.when(F.size(sizes) == 0, F.array().cast("array<long>")).otherwise(bind(blocks, from_offsets))
+
+
+def bounded_sample(rows: DataFrame, group: str, keys: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows of each value of ``group``, by the hash of ``keys``, numbered by ``place`` from 1.
+
+    Counts by value come first (``group`` must have few values); then only rows
+    with a small hash, about twice as many as wanted, are ranked.
+    """
+    rank = F.xxhash64(*keys).bitwiseAND(F.lit(2**63 - 1))
+    share = F.lit(2**63 - 1)
+    for found in rows.groupBy(group).count().collect():
+        if found["count"] > 2 * limit + 1000:
+            share = F.when(F.col(group) == found[group], F.lit(int((2 * limit + 1000) / found["count"] * (2**63 - 1)))).otherwise(share)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(rank, *keys))
+    return rows.where(rank <= share).withColumn("place", place).where(F.col("place") <= limit)
