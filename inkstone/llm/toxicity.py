@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstone.llm.grams import hashed_grams, pieces, split_words, word_sums
@@ -168,10 +168,12 @@ def train_toxicity_model(
     rows = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= chars_per_row))
     if held_out is not None:
         known, rows = known.where(key % folds != held_out), rows.where(key % folds != held_out)
-    # more ids than needed, as some documents are too long; then the texts of these few only
+    # more ids than needed, as some documents are too long; these few (at most 4 * rows_per_label) go to the texts
     ids = bounded_sample(known.distinct(), "toxic", ["doc_id"], 2 * rows_per_label)
-    got = rows.join(ids, "doc_id").select("doc_id", "toxic", "text").distinct()
-    sample = sorted(bounded_sample(got, "toxic", ["doc_id", "text"], rows_per_label).collect(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
+    got = rows.join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text").distinct()
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    sample = got.withColumn("place", place).where(F.col("place") <= rows_per_label).collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     truth = np.array([r["toxic"] for r in sample], dtype=np.int64)
     if len(np.unique(truth)) < 2:
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), 0.0, 0.0, -30.0)
