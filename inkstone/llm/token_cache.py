@@ -11,42 +11,130 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
-PIECE_CHARS = 2_000_000
-BYTE_UNIT = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-WORD_UNIT = re.compile(r"[^ \n]+")
+from inkstone.llm.word_hashes import span_hashes
+
+PIECE_CHARS = 500_000
 #: White space that the two libraries may take differently.
 UNUSUAL = re.compile(r"[^\S \n]|[\x85\x1c-\x1f᠎​﻿]")
 BYTE_CUT = re.compile(r"(?<=[^ \n])(?= [^ \n])")
 
 _loaded: dict[tuple[str, str], "WordCache"] = {}
 
+SPACE, LINE, BREAK = 0x20, 0x0A, 0xFF
+
+
+def unit_edges(raw: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of every unit in UTF-8 bytes; texts are parted by the byte BREAK, which UTF-8 never has."""
+    space, line, stop_ = raw == SPACE, raw == LINE, raw == BREAK
+    word = ~(space | line | stop_)
+    step = np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
+    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if kind == "word":
+        return start, stop
+    gap = np.diff(np.concatenate([[0], (space | line).astype(np.int8), [0]]))
+    g_start, g_stop = np.flatnonzero(gap == 1), np.flatnonzero(gap == -1)
+    # the blanks before a word: a last space goes with the word, a last newline is a unit of its own
+    before = np.zeros(len(raw) + 1, dtype=bool)
+    before[start] = True
+    leads = before[g_stop]
+    last = np.where(leads, g_stop - 1, g_stop)
+    takes = np.zeros(len(raw) + 1, dtype=bool)
+    takes[g_stop[leads & space[g_stop - 1]]] = True
+    start = start - takes[start]
+    some = last > g_start
+    alone = leads & line[g_stop - 1]
+    start = np.concatenate([start, g_start[some], g_stop[alone] - 1])
+    stop = np.concatenate([stop, last[some], g_stop[alone]])
+    order = np.argsort(start, kind="stable")
+    return start[order], stop[order]
+
 
 class WordCache:
-    """Ids of units as little-endian unsigned 32-bit integers; keeps the earlier half, where frequent units are, at ``limit`` units."""
+    """Ids of units, found by the 64-bit hash of their bytes; emptied at ``limit`` units (about 120 MB)."""
+
+    SLOTS = 23
 
-    def __init__(self, path: str, kind: str, limit: int = 1_200_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 4_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.limit, self.known = kind, limit, {}
-        self.unit = BYTE_UNIT if kind == "byte" else WORD_UNIT
+        self.kind, self.limit = kind, min(limit, (1 << self.SLOTS) // 2)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.n, self.used = 0, 0
+        self.slot_hash = np.zeros(1 << self.SLOTS, dtype=np.uint64)
+        self.slot_unit = np.full(1 << self.SLOTS, -1, dtype=np.int32)
+        self.at, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
+        self.pool = np.zeros(1 << 18, dtype=np.uint32)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        fresh = list(set(units).difference(self.known))
-        if fresh:
-            if len(self.known) + len(fresh) > self.limit:
-                self.known = dict(islice(self.known.items(), self.limit // 2))
-                fresh = list(set(units).difference(self.known))
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of the unit with each hash, -1 if unknown: linear probing of all at once."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        left = np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        while len(left):
+            unit = self.slot_unit[slot]
+            same = (self.slot_hash[slot] == hashes[left]) & (unit >= 0)
+            out[left[same]] = unit[same]
+            go = (unit >= 0) & ~same
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.SLOTS) - 1)
+        return out
+
+    def _add(self, hashes: np.ndarray, encoded: list[bytes]) -> None:
+        """Distinct unknown hashes with their ids."""
+        m = len(hashes)
+        sizes = np.fromiter((len(x) // 4 for x in encoded), dtype=np.int32, count=m)
+        total = int(sizes.sum())
+        while self.n + m > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + total] = np.frombuffer(b"".join(encoded), dtype="<u4")
+        self.size[self.n : self.n + m] = sizes
+        self.at[self.n : self.n + m] = self.used + np.cumsum(sizes) - sizes
+        unit = np.arange(self.n, self.n + m, dtype=np.int32)
+        slot = (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        left = np.arange(m)
+        while len(left):
+            free = self.slot_unit[slot] < 0
+            self.slot_unit[slot[free]] = unit[left[free]]  # of several for one slot the last one written stays
+            own = self.slot_unit[slot] == unit[left]
+            self.slot_hash[slot[own]] = hashes[left[own]]
+            left, slot = left[~own], (slot[~own] + 1) & ((1 << self.SLOTS) - 1)
+        self.n, self.used = self.n + m, self.used + total
+
+    def _units(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that are cut into units here."""
+        data = bytes([BREAK]).join(texts)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        start, stop = unit_edges(raw, self.kind)
+        hashes = span_hashes(raw, start, stop)
+        unit = self._find(hashes)
+        unknown = np.flatnonzero(unit < 0)
+        if len(unknown):
+            fresh, first = np.unique(hashes[unknown], return_index=True)
+            first = unknown[first]
+            if self.n + len(fresh) > self.limit:
+                self._empty()
+                fresh, first = np.unique(hashes, return_index=True)
             for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                self.known.update(zip(part, self._encoded(part), strict=True))
+                part = first[at : at + 20_000]
+                units = [data[a:b].decode("utf-8") for a, b in zip(start[part].tolist(), stop[part].tolist(), strict=True)]
+                self._add(fresh[at : at + 20_000], self._encoded(units))
+            unit = self._find(hashes)
+        sizes = self.size[unit].astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(self.at[unit] - edges[:-1], sizes) + np.arange(edges[-1])].astype("<u4").tobytes()
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+        cut = [0, *edges[np.searchsorted(start, ends)].tolist()]
+        return [ids[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def _parts(self, text: str) -> Iterator[str]:
         """``text`` in pieces of about PIECE_CHARS that end where two units meet."""
@@ -61,40 +149,34 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        waiting: list[list[str] | None] = []
-        held: list[str] = []
-        odd: list[str] = []
+        waiting: list[str] = []
         size = 0
-
-        def flush() -> Iterator[bytes]:
-            nonlocal waiting, held, odd, size
-            self._learn(held)
-            rest = iter(self._encoded(odd)) if odd else iter(())
-            for units in waiting:
-                yield next(rest) if units is None else b"".join(map(self.known.__getitem__, units))
-            waiting, held, odd, size = [], [], [], 0
-
         for text in texts:
-            if len(text) > PIECE_CHARS and not UNUSUAL.search(text):
-                yield from flush()
-                whole = []
-                for part in self._parts(text):
-                    units = self.unit.findall(part)
-                    self._learn(units)
-                    whole.append(b"".join(map(self.known.__getitem__, units)))
-                yield b"".join(whole)
+            if len(text) > PIECE_CHARS:
+                yield from self._encode_some(waiting)
+                waiting, size = [], 0
+                if self.kind == "byte" and UNUSUAL.search(text):
+                    yield self._encoded([text])[0]
+                else:
+                    yield b"".join(self._units([part.encode("utf-8", "replace")])[0] for part in self._parts(text))
                 continue
-            if self.kind == "byte" and UNUSUAL.search(text):
-                waiting.append(None)
-                odd.append(text)
-            else:
-                units = self.unit.findall(text)
-                waiting.append(units)
-                held.extend(units)
+            waiting.append(text)
             size += len(text)
             if size >= PIECE_CHARS:
-                yield from flush()
-        yield from flush()
+                yield from self._encode_some(waiting)
+                waiting, size = [], 0
+        yield from self._encode_some(waiting)
+
+    def _encode_some(self, texts: list[str]) -> Iterator[bytes]:
+        if not texts:
+            return
+        odd: set[int] = set()
+        if self.kind == "byte" and UNUSUAL.search("\n".join(texts)):
+            odd = {i for i, t in enumerate(texts) if UNUSUAL.search(t)}
+        plain = iter(self._units([t.encode("utf-8", "replace") for i, t in enumerate(texts) if i not in odd]))
+        rest = iter(self._encoded([texts[i] for i in sorted(odd)]) if odd else ())
+        for i in range(len(texts)):
+            yield next(rest) if i in odd else next(plain)
 
 
 def word_cache(path: str, kind: str) -> WordCache:

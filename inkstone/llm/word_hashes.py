@@ -34,12 +34,16 @@ def to_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, by differences of one running sum."""
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), dtype=np.uint64)])
+    return mix((sums[stop] - sums[start]) * _power(_INVERSE, len(raw))[start] + (stop - start).astype(np.uint64) * _STEP)
+
+
 def _piece_hashes(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
     edge = np.diff(np.concatenate([[1], _GAP[raw].astype(np.int8), [1]]))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), dtype=np.uint64)])
-    return mix((sums[stop] - sums[start]) * _power(_INVERSE, len(raw))[start] + (stop - start).astype(np.uint64) * _STEP)
+    return span_hashes(raw, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1))
 
 
 def word_hashes(data: bytes) -> np.ndarray:
