@@ -61,19 +61,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, keep: int = 0) -> int:
-    """Delete this application's scratch folders but the first ``keep``; the number that stay.
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """This application's scratch folders that have not been dropped, oldest first."""
+    return [path for path, app in _written if app == spark.sparkContext.applicationId]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch folders (all of this application by default).
 
     Call it when the results that read them have been written.
     """
-    own = [x for x in _written if x[1] == spark.sparkContext.applicationId]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for x in own[keep:]:
-        path = jvm.org.apache.hadoop.fs.Path(x[0])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in scratch_tables(spark) if paths is None else list(paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-        _written.remove(x)
-    return min(keep, len(own))
+    gone = set(scratch_tables(spark) if paths is None else paths)
+    _written[:] = [x for x in _written if x[0] not in gone]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
