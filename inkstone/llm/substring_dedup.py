@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.shared import table
+from inkstone.llm.shared import WORD_GAP, table
 from inkstone.llm.word_hashes import gram_hashes, to_bytes, word_hashes
 from inkstone.session import materialize
 
@@ -255,7 +255,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
         sampled.join(shared, "gram", "left_semi").groupBy("doc_id", "version").agg(F.collect_list("place").alias("places")), "wanted"
     )
     candidates = read.where(_fixed_filter(wanted.select("doc_id"))).join(wanted, "doc_id")
-    words_joined = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""), " ")
+    words_joined = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), WORD_GAP), ""), " ")
     digest = F.sha2(words_joined.cast("binary"), 256)
     candidates = candidates.withColumn("digest", digest).where(_version() == F.col("version"))
     texts = materialize(candidates.dropDuplicates(["doc_id", "version"]), "texts")
@@ -274,10 +274,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     facts, cut = find_repeats(docs, window)
     copies = facts.where("copy").select("doc_id", "digest", F.lit("").alias("kept_text"))
     changed = cut.select("doc_id", "digest", "kept_text").union(copies).dropDuplicates(["doc_id", "digest"])
-    words_joined = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""), " ")
-    changed = changed.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept_text")
-    joined = docs.join(changed, (docs["doc_id"] == changed["_id"]) & (F.sha2(words_joined.cast("binary"), 256) == changed["_digest"]), "left")
-    return joined.select(*[F.coalesce("kept_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    # the texts are joined by id; only those that have an entry are hashed to see which one is theirs
+    found = changed.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("digest", "kept_text"))).alias("_kept"))
+    words_joined = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), WORD_GAP), ""), " ")
+    new = F.when(F.col("_kept").isNotNull(), F.try_element_at("_kept", F.sha2(words_joined.cast("binary"), 256)))
+    joined = docs.join(found, docs["doc_id"] == found["_id"], "left")
+    return joined.select(*[F.coalesce(new, F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
