@@ -49,8 +49,9 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def identify_language(docs: DataFrame) -> DataFrame:
     """Documents in a language that the model tells; those without a letter go."""
-    scored = predict_language(docs, train_language_model(docs, held_out=None))
-    return scored.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = ("_pipeline_lang", "_pipeline_score")
+    scored = predict_language(docs, train_language_model(docs, held_out=None), to=found)
+    return scored.where((F.col(found[0]) != "und") & (F.col(found[1]) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     lead = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     kept = docs.join(lead, "doc_id", "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("_place", place).where(F.col("_place") == 1).select(*docs.columns)
+    kept = kept.withColumn("_pipeline_place", place).where(F.col("_pipeline_place") == 1).select(*docs.columns)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -132,8 +132,8 @@ def fold(folds: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score (probability of lang_pred, 0 to 1).
+def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text", to: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the columns ``to``: the language and its probability, 0 to 1.
 
     A null text, one without a letter, and any text under a model without
     languages get ``und`` with score 0. Whole texts are read, in pieces.
@@ -156,9 +156,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text")
                 }
             )
 
-    return docs.withColumn("_p", predicted(F.col(text))).withColumns(
-        {"lang_pred": F.col("_p.lang_pred"), "lang_score": F.col("_p.lang_score")}
-    ).drop("_p")
+    both = docs.withColumn(to[0], predicted(F.col(text)))
+    return both.withColumns({to[0]: F.col(to[0])["lang_pred"], to[1]: F.col(to[0])["lang_score"]})
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -312,9 +313,7 @@ def decode_documents(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with ``text`` from the array of ids; no ids give an empty text, null gives null."""
 
     @F.pandas_udf("string")
-    def decoded(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = piece_codec(path, 0.0, 0)
         for batch in batches:
             yield pd.Series([None if x is None else codec.decode(np.asarray(x, dtype="<u4").tobytes()) for x in batch], dtype=object)

@@ -174,10 +174,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
             lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), (acc["stop"] + 1).cast("int"), F.length(F.col(text)))),
         )
 
-    found = scan_secrets(docs, text)
-    return found.withColumn(
-        text, F.when(F.size("secrets") > 0, bind(F.col("secrets"), merged)).otherwise(F.col(text))
-    ).drop("secrets")
+    cut = bind(secret_spans(text_of(text)), lambda spans: F.when(F.size(spans) > 0, merged(spans)).otherwise(F.col(text)))
+    return docs.withColumn(text, cut)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # the texts are joined by id; only those that have an entry are hashed to see which one is theirs
     found = changed.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("digest", "kept_text"))).alias("_kept"))
     words_joined = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), WORD_GAP), ""), " ")
-    new = F.when(F.col("_kept").isNotNull(), F.try_element_at("_kept", F.sha2(words_joined.cast("binary"), 256)))
+    new = F.when(found["_kept"].isNotNull(), F.try_element_at(found["_kept"], F.sha2(words_joined.cast("binary"), 256)))
     joined = docs.join(found, docs["doc_id"] == found["_id"], "left")
     return joined.select(*[F.coalesce(new, F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
