@@ -26,7 +26,7 @@ from inkstone.llm.shared import table
 from inkstone.session import materialize
 
 CURVES, DIMS, BITS = 4, 10, 6
-BLOCK = 2048
+BLOCK = 8192
 TARGET = 0.97
 MEASURED_QUERIES = 256
 
@@ -138,7 +138,7 @@ def _usable(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
 
 
 def _ordered(points: DataFrame, curves: Curves) -> DataFrame:
-    """curve, part, kind, node, vector, rank: the number of candidates before a point in its part of a curve."""
+    """curve, part, kind, node, rank: the number of candidates before a point in its part of a curve. No vector is sorted."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,8 +146,8 @@ def _ordered(points: DataFrame, curves: Curves) -> DataFrame:
                 keys = curves.keys(_matrix(batch.column(2)), batch.column(0).to_numpy() == 1)
                 for c in range(len(keys)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(batch.num_rows, c, dtype=np.int32)), pa.array(keys[c]), *(batch.column(i) for i in range(3))],
-                        names=["curve", "key", "kind", "node", "vector"],
+                        [pa.array(np.full(batch.num_rows, c, dtype=np.int32)), pa.array(keys[c]), batch.column(0), batch.column(1)],
+                        names=["curve", "key", "kind", "node"],
                     )
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +161,13 @@ def _ordered(points: DataFrame, curves: Curves) -> DataFrame:
                 rank[mine] = seen.get(int(c), 0) + count - candidate[mine]
                 seen[int(c)] = seen.get(int(c), 0) + int(count[-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(curve), part, dtype=np.int32)), batch.column(2), batch.column(3), batch.column(4), pa.array(rank)],
-                names=["curve", "part", "kind", "node", "vector", "rank"],
+                [batch.column(0), pa.array(np.full(len(curve), part, dtype=np.int32)), batch.column(2), batch.column(3), pa.array(rank)],
+                names=["curve", "part", "kind", "node", "rank"],
             )
 
-    kind = points.schema["vector"].dataType.simpleString()
-    spread = points.select("kind", "node", "vector").mapInArrow(keyed, f"curve int, key bigint, kind int, node bigint, vector {kind}")
+    spread = points.select("kind", "node", "vector").mapInArrow(keyed, "curve int, key bigint, kind int, node bigint")
     in_order = spread.repartitionByRange("curve", "key", "node", "kind").sortWithinPartitions("curve", "key", "node", "kind")
-    return in_order.mapInArrow(ranked, f"curve int, part int, kind int, node bigint, vector {kind}, rank bigint")
+    return in_order.mapInArrow(ranked, "curve int, part int, kind int, node bigint, rank bigint")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -261,15 +260,15 @@ def nearest(
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     blocks = materialize(
-        placed.join(offsets, ["curve", "part"]).select("curve", "kind", "node", "vector", F.expr(f"(offset + rank) div {block}").alias("block")), "blocks"
+        placed.join(offsets, ["curve", "part"]).select("curve", "kind", "node", F.expr(f"(offset + rank) div {block}").alias("block")), "blocks"
     )
     few = asked.orderBy(F.xxhash64("node"), "node").limit(MEASURED_QUERIES).collect()
     reach = _needed_reach(blocks, _exact(points, few, k + 1).select("query", "node"), target) if few else 0
     last = blocks.where("kind = 0").groupBy("curve").agg(F.max("block").alias("last"))
     around = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("block") - reach), F.least(F.col("last"), F.col("block") + reach)))
     asking = blocks.where("kind = 1").join(last, "curve").withColumn("block", F.least("block", "last"))
-    asking = asking.select("curve", "kind", "node", "vector", around.alias("block"))
-    found = blocks.where("kind = 0").union(asking).groupBy("curve", "block").applyInPandas(
+    placed_all = blocks.where("kind = 0").unionByName(asking.select("curve", "kind", "node", around.alias("block")))
+    found = placed_all.join(points.select("node", "vector"), "node").select("curve", "block", "kind", "node", "vector").groupBy("curve", "block").applyInPandas(
         lambda frame: _compared(frame, k + 1), "query bigint, node bigint, score double"
     )
     merged = found.groupBy("query", "node").agg(F.max("score").alias("score"))
