@@ -33,7 +33,7 @@ def bench_matches(spark, sf, floor=0.0):
 
 @check("best_match_per_passage", f"{BENCH_FULL} SELECT doc_id, passage_no, score, coalesce(chunk_id, -1) AS chunk_id FROM best")
 def _(spark, sf):
-    b = O.best_match_per_passage(P.query_passages(docs(spark, sf)), P.corpus_passages(benchmark_docs(spark, sf)), 0.0)
+    b = O.best_match_per_passage(P.query_passages(docs(spark, sf)), P.corpus_passages(benchmark_docs(spark, sf)))
     return b.select("doc_id", "passage_no", "score", F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"))
 
 
@@ -133,16 +133,16 @@ def _(spark, sf):
 
 PAGE_SQL = """pn AS (SELECT count(*) AS n FROM benchmark),
 ext AS (SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 'wikipedia' ELSE 'arxiv' END AS kind, 'Item ' || CAST(b.item_id AS VARCHAR) AS title, 'http://page/' || CAST(b.item_id AS VARCHAR) AS url,
-  CASE WHEN d.doc_id % 3 = 0 THEN b.text || ' ' || substr(d.text, 1, 900) ELSE b.text END AS text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT n FROM pn) WHERE d.doc_id % 5 <> 4)"""
+  CASE WHEN d.doc_id % 3 = 0 THEN b.text || ' ' || d.text ELSE b.text END AS text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT n FROM pn))"""
 
 
 def external_docs(spark, sf):
     d, b = _paired(spark, sf)
-    return d.filter("doc_id % 5 <> 4").join(b, "item_id").select(
+    return d.join(b, "item_id").select(
         "doc_id", F.when(F.col("doc_id") % 2 == 0, "wikipedia").otherwise("arxiv").alias("kind"),
         F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"),
         F.concat(F.lit("http://page/"), F.col("item_id").cast("string")).alias("url"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", "other", F.substring("text", 1, 900))).otherwise(F.col("other")).alias("text"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", "other", "text")).otherwise(F.col("other")).alias("text"),
     )
 
 
@@ -150,7 +150,7 @@ PRE_SQL = f"""{QP_DOCS}, {PAGE_SQL}, {passages_sql('ep', 'ext', 60, 60)},
 qf AS (SELECT doc_id, passage_no, list_distinct(qt) AS qw, {grams('qt')} AS qg FROM (SELECT *, {lex('passage')} AS qt FROM qp)),
 ef AS (SELECT doc_id, passage_no, passage, list_distinct(st) AS sw, {grams('st')} AS sg FROM (SELECT *, {lex('passage')} AS st FROM ep)),
 pj AS (SELECT e.doc_id, e.passage_no AS window_no, any_value(e.passage) AS passage, max({setjac('q.qw', 'e.sw')}) AS word_share, max({contain('q.qg', 'e.sg')}) AS gram_share FROM ef e JOIN qf q ON q.doc_id = e.doc_id GROUP BY 1, 2),
-kept AS (SELECT * FROM pj WHERE word_share >= 0.12 OR gram_share >= 0.05 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY greatest(word_share, gram_share) DESC, window_no) <= 25)"""
+kept AS (SELECT * FROM pj WHERE word_share >= 0.12 OR gram_share >= 0.05)"""
 
 
 @check("external_prefilter", f"WITH RECURSIVE {PRE_SQL} SELECT doc_id, CAST(window_no AS INT) AS window_no, round(word_share, 6) AS word_share, round(gram_share, 6) AS gram_share FROM kept")
@@ -161,28 +161,28 @@ def _(spark, sf):
 
 
 XB = f"""fx AS (SELECT passage FROM cp UNION ALL SELECT passage FROM kept),
-{overlap_sql('qp', 'cp', 0.45).replace('found', 'inner_found')},
+{overlap_sql('qp', 'cp', 0).replace('found', 'inner_found')},
 xd AS (SELECT md5(passage) AS key, any_value(passage) AS passage FROM fx GROUP BY 1), xn AS (SELECT count(*) AS n FROM xd),
 xidf AS (SELECT term, ln(((SELECT n FROM xn) + 1.0) / (count(DISTINCT key) + 1.0)) AS idf FROM (SELECT key, unnest({lex('passage')}) AS term FROM xd) GROUP BY term),
 {vectors_sql('xq', 'qd', 'xidf', 'xn')}, {vectors_sql('xe', 'xd', 'xidf', 'xn')},
 xs AS (SELECT q.doc_id, q.passage_no, k.window_no, round(sum(a.w * b.w), 9) AS score FROM qq q JOIN xq a ON a.key = q.key JOIN kept k ON k.doc_id = q.doc_id JOIN xe b ON b.key = md5(k.passage) AND b.term = a.term GROUP BY 1, 2, 3),
 xbest AS (SELECT doc_id, passage_no, arg_max(struct_pack(s := score, w := window_no), struct_pack(a := score, b := -window_no)) AS m FROM xs GROUP BY 1, 2),
-joint AS (SELECT b.doc_id, b.passage_no, b.passage, CASE WHEN coalesce(x.m.s > b.score AND x.m.s >= 0.45, FALSE) THEN x.m.s ELSE b.score END AS score,
-  CASE WHEN coalesce(x.m.s > b.score AND x.m.s >= 0.45, FALSE) THEN k.passage ELSE b.matched_text END AS matched_text,
-  coalesce(x.m.s > b.score AND x.m.s >= 0.45, FALSE) AS from_page FROM best b LEFT JOIN xbest x ON x.doc_id = b.doc_id AND x.passage_no = b.passage_no LEFT JOIN kept k ON k.doc_id = x.doc_id AND k.window_no = x.m.w),
+joint AS (SELECT b.doc_id, b.passage_no, b.passage, CASE WHEN coalesce(x.m.s > b.score, FALSE) THEN x.m.s ELSE b.score END AS score,
+  CASE WHEN coalesce(x.m.s > b.score, FALSE) THEN k.passage ELSE b.matched_text END AS matched_text,
+  coalesce(x.m.s > b.score, FALSE) AS from_page FROM best b LEFT JOIN xbest x ON x.doc_id = b.doc_id AND x.passage_no = b.passage_no LEFT JOIN kept k ON k.doc_id = x.doc_id AND k.window_no = x.m.w),
 {corroborate_sql('found', 'joint')}, {REPORT_SQL},
 probes AS (SELECT doc_id, len(list_filter({sents('text')}, lambda x0: {wc('x0')} >= 9)) AS n FROM documents)"""
 
 
-@check("external_overlap", f"""WITH RECURSIVE {PRE_SQL}, {CP_BENCH.replace('bm AS (SELECT item_id AS doc_id, text FROM benchmark)', "bm AS (SELECT item_id AS doc_id, text FROM benchmark WHERE item_id % 2 = 1)")}, {XB}
- SELECT r.doc_id, top_match, top_match_verified, matched_portion, possible_portion, (SELECT count(*) FROM found f WHERE f.doc_id = r.doc_id AND f.verified AND f.from_page) AS verified_from_pages,
+@check("external_overlap", f"""WITH RECURSIVE {PRE_SQL}, {CP_BENCH}, {XB}
+ SELECT r.doc_id, overall_similarity, top_match, top_match_verified, note, matched_portion, possible_portion, (SELECT count(*) FROM found f WHERE f.doc_id = r.doc_id AND f.verified AND f.from_page) AS verified_from_pages,
  (SELECT count(*) FROM ext e WHERE e.doc_id = r.doc_id) AS n_pages,
  CASE WHEN p.n = 0 THEN 'too_short' WHEN NOT EXISTS (SELECT 1 FROM ext e WHERE e.doc_id = r.doc_id) THEN 'no_candidates' ELSE 'ok' END AS check_status
  FROM rep r JOIN probes p ON p.doc_id = r.doc_id""")
 def _(spark, sf):
-    stored = benchmark_docs(spark, sf).filter("doc_id % 2 = 1").withColumn("tag", F.lit("b"))
+    stored = benchmark_docs(spark, sf).withColumn("tag", F.lit("b"))
     out = P.external_overlap(docs(spark, sf), external_docs(spark, sf), stored)
-    return out.select("doc_id", "top_match", "top_match_verified", "matched_portion", "possible_portion", "verified_from_pages", "n_pages", "check_status")
+    return out.select("doc_id", "overall_similarity", "top_match", "top_match_verified", "note", "matched_portion", "possible_portion", "verified_from_pages", "n_pages", "check_status")
 
 
 @check("source_counts", f"WITH {PAGE_SQL} SELECT kind, count(*) AS pages FROM ext GROUP BY kind")
@@ -260,7 +260,7 @@ CANDS = (
 @check("select_best_candidate", f"""WITH RECURSIVE c0 AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS i, text FROM documents),
  c1 AS (SELECT doc_id, i, text AS original, CASE WHEN i = 0 THEN text ELSE {CANDS} END AS cand FROM c0),
  c2 AS (SELECT doc_id, i, original, CASE WHEN i = 0 THEN cand ELSE {strip('cand')} END AS text FROM c1 WHERE i = 0 OR (i <> 3 AND {strip('cand')} <> '' AND NOT starts_with(lower({strip('cand')}), 'as an ai') AND len({strip('cand')}) / greatest(len(original), 1) BETWEEN 0.5 AND 2.0)),
- cs AS (SELECT doc_id * 10 + i AS doc_id, text FROM c2), {passages_sql('qp0', 'cs', 60, 30)}, qp AS (SELECT *, CAST(doc_id // 10 AS VARCHAR) AS tag, 0 AS seq FROM qp0), {CP_BENCH}, {overlap_sql('qp', 'cp', 0.45)}, {REPORT_SQL},
+ cs AS (SELECT doc_id * 10 + i AS doc_id, text FROM c2), {passages_sql('qp0', 'cs', 60, 30)}, qp AS (SELECT *, CAST(doc_id // 10 AS VARCHAR) AS tag, 0 AS seq FROM qp0), {CP_BENCH}, {overlap_sql('qp', 'cp', 0)}, {REPORT_SQL},
  sc AS (SELECT c2.doc_id, c2.i, coalesce(r.matched_portion, 0.0) AS mp, coalesce(r.top_match, 0.0) AS tp FROM c2 LEFT JOIN rep r ON r.doc_id = c2.doc_id * 10 + c2.i),
  bs AS (SELECT doc_id, arg_min(struct_pack(i := i, mp := mp), struct_pack(a := mp, b := tp, c := i)) AS b, max(mp) FILTER (i = 0) AS o, count(*) - 1 AS tried FROM sc GROUP BY 1)
  SELECT doc_id, tried AS candidates_tried, o AS before, CASE WHEN b.mp < o THEN b.mp ELSE o END AS after, b.mp < o AS improved, CASE WHEN b.mp < o THEN b.i ELSE 0 END AS candidate_no FROM bs""")

@@ -37,7 +37,7 @@ def corpus_passages(docs: DataFrame) -> DataFrame:
 
 
 def match_passages(
-    docs: DataFrame, stored: DataFrame, floor: float = L.MATCH_FLOOR, exclude_own_tag: bool = False,
+    docs: DataFrame, stored: DataFrame, floor: float = 0.0, exclude_own_tag: bool = False,
     earlier_only: bool = False,
 ) -> DataFrame:
     """Verified best match of every passage of ``docs`` among those of ``stored``."""
@@ -48,14 +48,17 @@ def match_passages(
 
 
 def find_overlap(
-    docs: DataFrame, stored: DataFrame, floor: float = L.MATCH_FLOOR, exclude_own_tag: bool = False,
+    docs: DataFrame, stored: DataFrame, floor: float = 0.0, exclude_own_tag: bool = False,
     earlier_only: bool = False,
 ) -> DataFrame:
-    """One report row per document. ``floor=0`` also makes the mean exact."""
-    return O.overlap_report(match_passages(docs, stored, floor, exclude_own_tag, earlier_only))
+    """One report row per document, blank ones included; means and maxima over all passages are exact.
+
+    A search ``floor`` above 0 is cheaper and counts passages below it as 0.
+    """
+    return O.with_all_documents(O.overlap_report(match_passages(docs, stored, floor, exclude_own_tag, earlier_only)), docs)
 
 
-def external_overlap(docs: DataFrame, external_docs: DataFrame, stored: DataFrame, floor: float = L.MATCH_FLOOR) -> DataFrame:
+def external_overlap(docs: DataFrame, external_docs: DataFrame, stored: DataFrame, floor: float = 0.0) -> DataFrame:
     """Reports over stored passages and the pages fetched for each document.
 
     A page wins only with a strictly higher score: stored passages come first.
@@ -69,7 +72,7 @@ def external_overlap(docs: DataFrame, external_docs: DataFrame, stored: DataFram
         "doc_id", "passage_no", F.col("score").alias("x_score"), F.col("matched_text").alias("x_text"), F.col("kind").alias("x_kind")
     )
     both = inside.join(outside, ["doc_id", "passage_no"], "left")
-    better = F.coalesce((F.col("x_score") > F.col("score")) & (F.col("x_score") >= floor), F.lit(False))
+    better = F.coalesce(F.col("x_score") > F.col("score"), F.lit(False))
     merged = both.select(
         "doc_id", "passage_no", "passage",
         F.when(better, F.col("x_score")).otherwise(F.col("score")).alias("score"),
