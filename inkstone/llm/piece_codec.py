@@ -34,7 +34,7 @@ BLANK = "▁"
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 VARIANTS = 8
 LONG_UNIT = 40
-NONE = np.int64(2**40)
+NONE, UNKNOWN = np.int64(2**50), 1 << 20
 BATCH_CHARS = 1_000_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -53,6 +53,10 @@ class PieceCodec:
         self.byte_id = {int(names[i][1:-1], 16): i for i in range(size) if model.is_byte(i)}
         usual = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.id_of = {names[i]: i for i in usual}
+        self.char_id = np.full(0x110000, UNKNOWN, dtype=np.int64)
+        for name, i in self.id_of.items():
+            if len(name) == 1:
+                self.char_id[ord(name)] = i
         self.raw = [b""] * size
         for i in usual:
             self.raw[i] = names[i].replace(BLANK, " ").encode()
@@ -87,49 +91,47 @@ class PieceCodec:
     def _skipped(self, key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix(key ^ (start.astype(np.uint64) * _C2 + stop.astype(np.uint64) * _C3 + _C1)) < self.bound
 
-    def _ranked(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NONE: no merge) and piece of each pair of neighbours."""
-        wanted = (left << 20) | right
+    def _ranked(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Rank and piece, in one number, of the merge of each pair of neighbours (symbol << 8 | start); NONE: no merge."""
+        wanted = ((left >> 8) << 20) | (right >> 8)
         at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
-        fine = (self.pair_keys[at] == wanted) & (left >= 0) & (right >= 0)
+        fine = self.pair_keys[at] == wanted
         if self.bound:
-            fine &= ~self._skipped(key, start, stop)
-        return np.where(fine, self.pair_rank[at], NONE), self.pair_made[at]
+            fine &= ~self._skipped(key, left & 255, stop)
+        return np.where(fine, self.pair_rank[at] << 20 | self.pair_made[at], NONE)
 
     def _merge_many(self, symbols: np.ndarray, keys: np.ndarray) -> list:
         """Agenda processing of units of one length side by side: each round every unit makes its best merge."""
         m, n = symbols.shape
-        starts = np.tile(np.arange(n + 1), (m, 1))
-        spread = np.repeat(keys[:, None], max(n - 1, 0), axis=1)
-        rank, made = self._ranked(symbols[:, :-1], symbols[:, 1:], spread, starts[:, :-2], starts[:, 2:])
+        cells = np.concatenate([symbols << 8 | np.arange(n), np.full((m, 1), n)], axis=1)  # the last cell marks the end
         length = np.full(m, n)
         live = np.arange(m)
+        if n > 1:
+            rank = self._ranked(cells[:, : n - 1], cells[:, 1:n], keys[:, None], np.arange(2, n + 1)[None, :])
         while n > 1 and len(live):
             best = rank[live].argmin(axis=1)
-            go = rank[live, best] < NONE
-            live, best = live[go], best[go]
+            value = rank[live, best]
+            go = value < NONE
+            live, best, value = live[go], best[go], value[go]
             if not len(live):
                 break
-            merged = made[live, best]
-            k = np.arange(n)[None, :]
-            shift = np.minimum(k + (k > best[:, None]), n - 1)
-            symbols[live] = np.take_along_axis(symbols[live], shift, axis=1)
-            symbols[live, best] = merged
-            starts[live] = np.take_along_axis(starts[live], np.minimum(np.arange(n + 1)[None, :] + (np.arange(n + 1)[None, :] > best[:, None]), n), axis=1)
+            shift = np.arange(n + 1)[None, :] + (np.arange(n + 1)[None, :] > best[:, None])
+            start = cells[live, best] & 255
+            cells[live] = np.take_along_axis(cells[live], np.minimum(shift, n), axis=1)
+            cells[live, best] = (value & 0xFFFFF) << 8 | start
+            rank[live] = np.take_along_axis(rank[live], np.minimum(shift[:, : n - 1], n - 2), axis=1)
             length[live] -= 1
-            pair_shift = shift[:, : n - 1].clip(max=n - 2)
-            rank[live] = np.take_along_axis(rank[live], pair_shift, axis=1)
-            made[live] = np.take_along_axis(made[live], pair_shift, axis=1)
-            # pairs beyond the end of a unit never merge
-            rank[live[:, None], np.arange(n - 1)[None, :]] = np.where(np.arange(n - 1)[None, :] >= length[live][:, None] - 1, NONE, rank[live])
+            rank[live, length[live] - 1] = NONE  # beyond the end of a unit nothing merges
             for side in (-1, 0):
                 at = best + side
                 fine = (at >= 0) & (at + 1 < length[live])
                 row, col = live[fine], at[fine]
-                rank[row, col], made[row, col] = self._ranked(symbols[row, col], symbols[row, col + 1], keys[row], starts[row, col], starts[row, col + 2])
-        plain = (symbols >= 0).all(axis=1).tolist()
-        raw, sizes = symbols.astype("<u4").tobytes(), length.tolist()
-        return [raw[4 * n * i : 4 * (n * i + sizes[i])] if plain[i] else symbols[i, : sizes[i]] for i in range(m)]
+                rank[row, col] = self._ranked(cells[row, col], cells[row, col + 1], keys[row], cells[row, col + 2] & 255)
+        cells >>= 8
+        plain = (cells < UNKNOWN).all(axis=1).tolist()
+        raw, sizes = cells.astype("<u4").tobytes(), length.tolist()
+        w = 4 * (n + 1)
+        return [raw[w * i : w * i + 4 * k] if plain[i] else np.where(cells[i, :k] == UNKNOWN, -1, cells[i, :k]) for i, k in enumerate(sizes)]
 
     def merge_one(self, symbols: list[int], key: int) -> list[int]:
         """The same with a heap, for one unit of any length."""
@@ -158,14 +160,19 @@ class PieceCodec:
                 add(before[i], i)
         return [s for s in symbols if s != -2]
 
-    def _learn(self, wanted: list[tuple[str, int]]) -> None:
-        """Merge the (unit, variant) pairs that are not known yet."""
-        fresh = list({(u, v) for u, v in wanted if u not in self.known[v]})
+    def _learn(self, wanted: Sequence[tuple[list[str], list[int], str]]) -> None:
+        """Merge the units that are not known yet in their variant."""
+
+        def unknown() -> list[tuple[str, int]]:
+            known = self.known
+            return list({(u, v) for units, variants, _ in wanted for u, v in zip(units, variants, strict=True) if u not in known[v]})
+
+        fresh = unknown()
         if not fresh:
             return
         if self.held + len(fresh) > self.limit:
             self.known = [dict(islice(k.items(), len(k) // 2)) for k in self.known]
-            fresh = list({(u, v) for u, v in wanted if u not in self.known[v]})
+            fresh = unknown()
         keys = self._keys(fresh)
         by_length: dict[int, list[int]] = {}
         for i, (u, _) in enumerate(fresh):
@@ -177,8 +184,8 @@ class PieceCodec:
                 if n > LONG_UNIT:
                     done: list = [self.merge_one([get(c, -1) for c in fresh[i][0]], int(keys[i])) for i in part]
                 else:
-                    symbols = np.array([get(c, -1) for i in part for c in fresh[i][0]], dtype=np.int64).reshape(len(part), n)
-                    done = self._merge_many(symbols, keys[part])
+                    text = "".join([fresh[i][0] for i in part]).encode("utf-32-le", "surrogatepass")
+                    done = self._merge_many(self.char_id[np.frombuffer(text, dtype="<u4")].reshape(len(part), n), keys[part])
                 for i, ids in zip(part, done, strict=True):
                     unit, v = fresh[i]
                     self.known[v][unit] = ids if isinstance(ids, bytes) else self._spelled(unit, ids)
@@ -226,7 +233,7 @@ class PieceCodec:
 
         def flush() -> Iterator[bytes]:
             nonlocal waiting, size
-            self._learn([x for parts in waiting for units, variants, _ in parts for x in zip(units, variants, strict=True)])
+            self._learn([x for parts in waiting for x in parts])
             for parts in waiting:
                 yield b"".join(self._looked_up(*x) for x in parts)
             waiting, size = [], 0
@@ -236,7 +243,7 @@ class PieceCodec:
                 yield from flush()
                 whole = []
                 for part in self._cut(text, document):
-                    self._learn(list(zip(part[0], part[1], strict=True)))
+                    self._learn([part])
                     whole.append(self._looked_up(*part))
                 yield b"".join(whole)
                 continue
