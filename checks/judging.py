@@ -193,7 +193,7 @@ def _(spark, sf):
     return E.stratified_sample(samples(spark, sf), 25).select("doc_id", "group")
 
 
-@check("evaluate_detector", f'WITH {SAMPLE_SQL}, {PICK} SELECT label, "group", {GROUP_AGG} FROM pick GROUP BY 1, 2 UNION ALL SELECT label, \'(all)\', {GROUP_AGG} FROM pick GROUP BY 1')
+@check("evaluate_detector", f'WITH {SAMPLE_SQL} SELECT label, "group", {GROUP_AGG} FROM sm GROUP BY 1, 2 UNION ALL SELECT label, \'(all)\', {GROUP_AGG} FROM sm GROUP BY 1')
 def _(spark, sf):
     s = samples(spark, sf)
-    return _groups(R.evaluate_detector(s.select("doc_id", "label", "group"), s, k=25))
+    return _groups(R.evaluate_detector(s.select("doc_id", "label", "group"), s))

@@ -139,18 +139,18 @@ def _(spark, sf):
 
 # --- bands over the history table --------------------------------------------------
 
-def band(name: str, sql_case: str, column, extra_filter: str = "TRUE"):
-    @check(name, f"WITH {HISTORY_SQL} SELECT id, {sql_case} AS band FROM hist WHERE {extra_filter}")
+def band(name: str, sql_case: str, column):
+    @check(name, f"WITH {HISTORY_SQL} SELECT id, {sql_case} AS band FROM hist")
     def _(spark, sf):
-        return history(spark, sf).filter(F.expr(extra_filter)).select("id", column().alias("band"))
+        return history(spark, sf).select("id", column().alias("band"))
 
 
 P_, S_ = "ai_probability", "similarity_score"
 band("verdict_band", f"CASE WHEN {P_} >= 60 THEN 'likely_ai' WHEN {P_} <= 40 THEN 'likely_human' WHEN {P_} IS NOT NULL THEN 'uncertain' END", lambda: B.verdict_band(F.col(P_)))
 band("confidence_band", f"CASE WHEN abs({P_} - 50) >= 30 THEN 'high' WHEN abs({P_} - 50) >= 15 THEN 'medium' ELSE 'low' END", lambda: B.confidence_band(F.col(P_)))
 band("similarity_band", f"CASE WHEN {S_} >= 50 THEN 'flag' WHEN {S_} >= 25 THEN 'uncertain' ELSE 'low' END", lambda: B.similarity_band(F.col(S_)))
-band("sentence_heat_band", f"CASE WHEN {P_} < 25 THEN 'machine' WHEN {P_} > 50 THEN 'human' ELSE 'uncertain' END", lambda: B.sentence_heat_band(F.col(P_)), f"{P_} IS NOT NULL")
-band("code_confidence", f"CASE WHEN {S_} >= 60 THEN 'High' WHEN {S_} >= 20 THEN 'Medium' ELSE 'Low' END", lambda: B.code_confidence(F.col(S_)), f"{S_} IS NOT NULL")
+band("sentence_heat_band", f"CASE WHEN {P_} < 25 THEN 'machine' WHEN {P_} > 50 THEN 'human' ELSE 'uncertain' END", lambda: B.sentence_heat_band(F.col(P_)))
+band("code_confidence", f"CASE WHEN {S_} >= 60 THEN 'High' WHEN {S_} >= 20 THEN 'Medium' ELSE 'Low' END", lambda: B.code_confidence(F.col(S_)))
 
 
 # --- segmentation ------------------------------------------------------------------
@@ -182,7 +182,7 @@ def _(spark, sf):
     return one.unionByName(G.explode_passages(d, stride=L.STORE_STRIDE).withColumn("side", F.lit("store")))
 
 
-PACK_SQL = f"""u AS (SELECT conv_id AS doc_id, turn + 1 AS idx, {strip('text')} AS text, {wc(strip('text'))} AS n FROM conversations WHERE {strip('text')} <> '' AND (turn % 5 <> 3)),
+PACK_SQL = f"""u AS (SELECT conv_id AS doc_id, turn + 1 + turn // 3 AS idx, {strip('text')} AS text, {wc(strip('text'))} AS n FROM conversations WHERE {strip('text')} <> ''),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS rn, lag(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS pv FROM u),
 f AS (SELECT doc_id, rn, n AS buf, 0 AS chunk FROM o WHERE rn = 1
   UNION ALL SELECT o.doc_id, o.rn, CASE WHEN o.idx <> o.pv + 1 OR f.buf + o.n > 350 THEN o.n ELSE f.buf + o.n END,
@@ -192,8 +192,8 @@ f AS (SELECT doc_id, rn, n AS buf, 0 AS chunk FROM o WHERE rn = 1
 @check("pack_chunks", f"""WITH RECURSIVE {PACK_SQL} SELECT f.doc_id, CAST(f.chunk AS BIGINT) AS chunk_no, string_agg(o.text, chr(10) || chr(10) ORDER BY o.idx) AS text,
  string_agg(CAST(o.idx AS VARCHAR), ',' ORDER BY o.idx) AS units FROM f JOIN o ON o.doc_id = f.doc_id AND o.rn = f.rn GROUP BY 1, 2""")
 def _(spark, sf):
-    turns = read_table(spark, sf, "conversations").filter("turn % 5 <> 3").select(
-        F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("unit_index"), "text"
+    turns = read_table(spark, sf, "conversations").select(  # a gap after every third turn
+        F.col("conv_id").alias("doc_id"), F.expr("turn + 1 + turn div 3").alias("unit_index"), "text"
     )
     return G.pack_units(turns).select("doc_id", "chunk_no", "text", F.array_join(F.transform("unit_indices", lambda i: i.cast("string")), ",").alias("units"))
 
@@ -362,11 +362,10 @@ FOLD = lambda x: rf"lower(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
 @check("grounded_quotes", f"""WITH s AS (SELECT doc_id, text, unnest({sents('text')}) AS x FROM documents), k AS (SELECT doc_id, text, lower(x) || CASE WHEN len(x) % 4 = 0 THEN ' zq' ELSE '' END AS quote FROM s)
- SELECT doc_id, quote, trim({FOLD('quote')}) <> '' AND contains({FOLD('text')}, trim({FOLD('quote')})) AS grounded FROM k WHERE regexp_full_match(quote, '[\\x00-\\x7F]*')""")
+ SELECT doc_id, quote, trim({FOLD('quote')}) <> '' AND contains({FOLD('text')}, trim({FOLD('quote')})) AS grounded FROM k""")
 def _(spark, sf):
     s = docs(spark, sf).select("doc_id", "text", F.explode(T.sentences(TXT())).alias("x"))
     k = s.withColumn("quote", F.concat(F.lower("x"), F.when(F.length("x") % 4 == 0, " zq").otherwise("")))
-    k = k.filter(F.col("quote").rlike(r"\A[\x00-\x7F]*\z"))
     return k.select("doc_id", "quote", V.quote_grounded(TXT(), F.col("quote")).alias("grounded"))
 
 

@@ -21,13 +21,8 @@ SAMPLE_SCHEMA = "id string, text string, label string, `group` string, source st
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table. A small one in a single file is spread over the cores:
-    one row group is one task otherwise. Large tables are left as they are."""
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) == 1 and cores > 1 and name in ("documents", "pages", "conversations"):
-        return df.repartition(cores)
-    return df
+    """A parquet table, split as Spark splits files."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +30,7 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("")).alias("text"),
+        F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"),
     )
 
 
@@ -50,11 +45,6 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", sep).csv(path, header=True, inferSchema=False)
 
 
-def with_row_no(df: DataFrame) -> DataFrame:
-    """File order as a number that grows with it; no shuffle and no global count."""
-    return df.withColumn("row_no", F.monotonically_increasing_id())
-
-
 def read_samples(spark: SparkSession, path: str, groups: list[str] | None = None) -> DataFrame:
     df = spark.read.schema(SAMPLE_SCHEMA).json(path)
     return df if groups is None else df.filter(F.col("group").isin(*groups))
@@ -94,21 +84,22 @@ def explode_answers(questions: DataFrame, min_words: int = 60) -> DataFrame:
     ).filter(F.col("text").isNotNull())
 
 
-def admit_files(spark: SparkSession, path: str) -> DataFrame:
+def admit_files(spark: SparkSession, path: str, max_bytes: int | None = MAX_UPLOAD_BYTES) -> DataFrame:
     """(path, size, extension, reason); the reason is empty for usable files.
 
-    Only the listing is read, never the content.
+    Only the listing is read, never the content. ``max_bytes`` is the limit of an
+    upload; None admits files of any size.
     """
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     reason = (
         F.when(~ext.isin(*UPLOAD_TYPES), "unsupported type").when(F.col("length") == 0, "empty")
-        .when(F.col("length") > MAX_UPLOAD_BYTES, "too large").otherwise("")
+        .when(F.lit(False) if max_bytes is None else F.col("length") > max_bytes, "too large").otherwise("")
     )
     return meta.select("path", F.col("length").alias("size"), ext.alias("extension"), reason.alias("reason"))
 
 
-def audit_images(files: DataFrame, content: str = "content") -> DataFrame:
+def audit_images(files: DataFrame, content: str = "content", max_bytes: int | None = MAX_IMAGE_BYTES) -> DataFrame:
     """Adds mime and reason by size and leading bytes of the content."""
     head = F.hex(F.substring(content, 1, 12))
     mime = (
@@ -117,7 +108,7 @@ def audit_images(files: DataFrame, content: str = "content") -> DataFrame:
     )
     n = F.length(content)
     reason = (
-        F.when(n > MAX_IMAGE_BYTES, "too large").when(n == 0, "empty").when(mime.isNull(), "not a JPEG, PNG or WEBP")
+        F.when(F.lit(False) if max_bytes is None else n > max_bytes, "too large").when(n == 0, "empty").when(mime.isNull(), "not a JPEG, PNG or WEBP")
         .otherwise("")
     )
     return files.withColumn("mime", F.when(reason == "", mime)).withColumn("reason", reason)

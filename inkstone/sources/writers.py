@@ -20,10 +20,12 @@ def record_id(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def append_history(rows: DataFrame, path: str, now: Column | None = None) -> None:
+def append_history(rows: DataFrame, path: str, now: Column | None = None, batch: str = "") -> None:
+    """Append analysed records. A record's id comes from its content and ``batch``, the
+    name of the append: the same append tried again writes the same ids, whenever it runs."""
     stamped = rows.withColumn("created_at", now if now is not None else F.current_timestamp())
     if "id" not in rows.columns:
-        stamped = stamped.withColumn("id", record_id(F.col("file_name"), F.col("created_at"), F.to_json("result")))
+        stamped = stamped.withColumn("id", record_id(F.lit(batch), F.col("file_name"), F.col("analysis_type"), F.to_json("result")))
     if "report_path" not in stamped.columns:
         stamped = stamped.withColumn("report_path", F.lit(None).cast("string"))
     stamped.select(*HISTORY_COLUMNS).write.mode("append").parquet(path)
