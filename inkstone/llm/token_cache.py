@@ -9,6 +9,7 @@ space than space and newline go to the tokenizer whole.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -17,9 +18,15 @@ from tokenizers import Tokenizer
 
 from inkstone.llm.word_hashes import span_hashes
 
+#: Spark runs one task per core: threads inside a task would only take memory.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
 PIECE_CHARS = 500_000
 #: White space that the two libraries may take differently.
 UNUSUAL = re.compile(r"[^\S \n]|[\x85\x1c-\x1f᠎​﻿]")
+#: The first bytes of such characters in UTF-8.
+MAY_BE_UNUSUAL = np.zeros(256, dtype=bool)
+MAY_BE_UNUSUAL[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 BYTE_CUT = re.compile(r"(?<=[^ \n])(?= [^ \n])")
 
 _loaded: dict[tuple[str, str], "WordCache"] = {}
@@ -54,11 +61,11 @@ def unit_edges(raw: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordCache:
-    """Ids of units, found by the 64-bit hash of their bytes; emptied at ``limit`` units (about 120 MB)."""
+    """Ids of units, found by the 64-bit hash of their bytes; emptied at ``limit`` units (about 120 MB in all)."""
 
-    SLOTS = 23
+    SLOTS = 22
 
-    def __init__(self, path: str, kind: str, limit: int = 4_000_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 2_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.limit = kind, min(limit, (1 << self.SLOTS) // 2)
@@ -171,9 +178,10 @@ class WordCache:
         if not texts:
             return
         odd: set[int] = set()
-        if self.kind == "byte" and UNUSUAL.search("\n".join(texts)):
+        data = [t.encode("utf-8", "replace") for t in texts]
+        if self.kind == "byte" and MAY_BE_UNUSUAL[np.frombuffer(b"".join(data), dtype=np.uint8)].any():
             odd = {i for i, t in enumerate(texts) if UNUSUAL.search(t)}
-        plain = iter(self._units([t.encode("utf-8", "replace") for i, t in enumerate(texts) if i not in odd]))
+        plain = iter(self._units([d for i, d in enumerate(data) if i not in odd]))
         rest = iter(self._encoded([texts[i] for i in sorted(odd)]) if odd else ())
         for i in range(len(texts)):
             yield next(rest) if i in odd else next(plain)

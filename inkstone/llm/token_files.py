@@ -7,7 +7,7 @@ uint64. Blocks hold a fixed number of ids (the last one fewer) and no word spans
 two blocks. A word's low 4 bits select how many ids of how many bits follow;
 selector 0 is the escape for one id too wide to share a word.
 
-Segments of about a million ids are rows (part, seq, n_docs, n_ids, segment) of
+Segments of about 400,000 ids are rows (part, seq, n_docs, n_ids, segment) of
 files that Spark's own writer commits, so any store works and a lost task leaves
 nothing behind; parts are ranges of doc_id, seq counts within a part.
 """
@@ -32,7 +32,7 @@ from inkstone.session import scratch_dir
 #: ids per word and bits per id, by selector; selector 0 is the escape.
 SELECTORS = ((1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 BLOCK_IDS = 1024
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 400_000
 MAGIC = b"S8B1"
 
 
