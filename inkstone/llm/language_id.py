@@ -68,7 +68,11 @@ def _gram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         counts[int(b)] = counts.get(int(b), 0) + int(own[b])
             found.append(counts)
         yield pd.DataFrame(
-            {"lang": frame["lang"], "place": frame["place"], "buckets": [list(c) for c in found], "counts": [list(c.values()) for c in found]}
+            {
+                "lang": frame["lang"], "place": frame["place"],
+                "buckets": [np.fromiter(c, dtype="<i4", count=len(c)).tobytes() for c in found],
+                "counts": [np.fromiter(c.values(), dtype="<i4", count=len(c)).tobytes() for c in found],
+            }
         )
 
 
@@ -88,13 +92,13 @@ def train_language_model(
     if held_out is not None:
         rows = rows.where(fold(folds) != held_out)
     sample = bounded_sample(rows, "lang", ["doc_id", "text"], rows_per_language).select("lang", "text", "place")
-    got = sample.mapInPandas(_gram_counts, "lang string, place int, buckets array<int>, counts array<int>").collect()
+    got = sample.mapInPandas(_gram_counts, "lang string, place int, buckets binary, counts binary").collect()
     got.sort(key=lambda r: (r["place"], r["lang"]))
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return LanguageModel([], np.zeros((0, 1 << BITS), dtype=np.float32), np.zeros(0))
     number = {x: k for k, x in enumerate(langs)}
-    data = [(number[r["lang"]], np.asarray(r["buckets"], dtype=np.int64), np.asarray(r["counts"], dtype=np.float64)) for r in got]
+    data = [(number[r["lang"]], np.frombuffer(r["buckets"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i4")) for r in got]
     fit = [x for i, x in enumerate(data) if i % 5 != 4]
     seen = np.zeros(1 << BITS)
     for _, bucket, _ in fit:

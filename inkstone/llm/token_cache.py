@@ -3,7 +3,8 @@
 Both vocabularies split a text into words before merging, so a text's ids are the
 ids of its units one after the other: for ``byte`` vocabularies a unit is a run of
 non-blanks with the one space before it, or the blanks between; for ``word``
-vocabularies, which drop white space, a run of non-blanks. Texts with other white
+vocabularies, which drop white space, a run of non-blanks; both are parted between
+a letter and a mark. Texts with other white
 space than space and newline go to the tokenizer whole.
 """
 
@@ -29,19 +30,49 @@ MAY_BE_UNUSUAL = np.zeros(256, dtype=bool)
 MAY_BE_UNUSUAL[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 BYTE_CUT = re.compile(r"(?<=[^ \n])(?= [^ \n])")
 
+#: Letters below this are their own composed form and the same letters to every library.
+LATIN_END = "\u0180"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be printed, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
 _loaded: dict[tuple[str, str], "WordCache"] = {}
 
 SPACE, LINE, BREAK = 0x20, 0x0A, 0xFF
 
 
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def _inner_cuts(raw: np.ndarray) -> np.ndarray:
+    """Places between a plain letter and a mark: both vocabularies part the two (apostrophes may begin a contraction)."""
+    if len(raw) < 2:
+        return np.zeros(0, dtype=np.int64)
+    letter, mark = _LETTER[raw], _MARK[raw]
+    first, second = letter.copy(), letter.copy()  # a letter starts, ends here; C3 leads two-byte letters but for two signs
+    two = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    first[:-1] |= two
+    second[1:] |= two
+    return np.flatnonzero((second[:-1] & mark[1:]) | (mark[:-1] & first[1:])) + 1
+
+
 def unit_edges(raw: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Start and stop of every unit in UTF-8 bytes; texts are parted by the byte BREAK, which UTF-8 never has."""
     space, line, stop_ = raw == SPACE, raw == LINE, raw == BREAK
     word = ~(space | line | stop_)
     step = np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
-    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    start, stop, cuts = np.flatnonzero(step == 1), np.flatnonzero(step == -1), _inner_cuts(raw)
     if kind == "word":
-        return start, stop
+        return np.sort(np.concatenate([start, cuts]), kind="stable"), np.sort(np.concatenate([stop, cuts]), kind="stable")
     gap = np.diff(np.concatenate([[0], (space | line).astype(np.int8), [0]]))
     g_start, g_stop = np.flatnonzero(gap == 1), np.flatnonzero(gap == -1)
     # the blanks before a word: a last space goes with the word, a last newline is a unit of its own
@@ -54,20 +85,21 @@ def unit_edges(raw: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     start = start - takes[start]
     some = last > g_start
     alone = leads & line[g_stop - 1]
-    start = np.concatenate([start, g_start[some], g_stop[alone] - 1])
-    stop = np.concatenate([stop, last[some], g_stop[alone]])
-    order = np.argsort(start, kind="stable")
-    return start[order], stop[order]
+    start = np.concatenate([start, cuts, g_start[some], g_stop[alone] - 1])
+    stop = np.concatenate([stop, cuts, last[some], g_stop[alone]])
+    return np.sort(start, kind="stable"), np.sort(stop, kind="stable")
 
 
 class WordCache:
-    """Ids of units, found by the 64-bit hash of their bytes; emptied at ``limit`` units (about 120 MB in all)."""
+    """Ids of units, found by the 64-bit hash of their bytes; emptied at ``limit`` units (about 70 MB)."""
 
-    SLOTS = 22
+    SLOTS = 21
 
-    def __init__(self, path: str, kind: str, limit: int = 2_000_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # the same model without the steps before it, which leave a unit of plain letters whole
+        self.merges = Tokenizer(self.tokenizer.model)
         self.kind, self.limit = kind, min(limit, (1 << self.SLOTS) // 2)
         self._empty()
 
@@ -81,6 +113,22 @@ class WordCache:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encoded_units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of single units: those of plain letters by the model alone, the others by the whole tokenizer."""
+        plain: list[str | None] = []
+        for u in units:
+            word = u.decode("utf-8")
+            letters = word[1:] if word[0] == " " else word
+            if letters.isalpha() and max(letters) < LATIN_END:
+                data = word.lower().encode() if self.kind == "word" else u
+                plain.append(data.decode("latin-1").translate(BYTE_LETTERS))
+            else:
+                plain.append(None)
+        rest = iter(self._encoded([u.decode("utf-8") for u, p in zip(units, plain, strict=True) if p is None]))
+        simple = self.merges.encode_batch_fast([p for p in plain if p is not None], add_special_tokens=False)
+        own = iter([np.array(e.ids, dtype="<u4").tobytes() for e in simple])
+        return [next(rest) if p is None else next(own) for p in plain]
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of the unit with each hash, -1 if unknown: linear probing of all at once."""
         out = np.full(len(hashes), -1, dtype=np.int64)
@@ -131,10 +179,10 @@ class WordCache:
             if self.n + len(fresh) > self.limit:
                 self._empty()
                 fresh, first = np.unique(hashes, return_index=True)
-            for at in range(0, len(fresh), 20_000):
-                part = first[at : at + 20_000]
-                units = [data[a:b].decode("utf-8") for a, b in zip(start[part].tolist(), stop[part].tolist(), strict=True)]
-                self._add(fresh[at : at + 20_000], self._encoded(units))
+            for at in range(0, len(fresh), 10_000):
+                part = first[at : at + 10_000]
+                units = [data[a:b] for a, b in zip(start[part].tolist(), stop[part].tolist(), strict=True)]
+                self._add(fresh[at : at + 10_000], self._encoded_units(units))
             unit = self._find(hashes)
         sizes = self.size[unit].astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(sizes)])
