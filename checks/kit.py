@@ -297,11 +297,11 @@ rep AS (SELECT doc_id, round(100 * avg(score), 1) AS overall_similarity, round(1
 
 QP_DOCS = passages_sql("qp0", "documents", 60, 30) + ", qp AS (SELECT *, CAST(doc_id AS VARCHAR) AS tag, 0 AS seq FROM qp0)"
 CP_DOCS = passages_sql("cp0", "documents", 60, 60) + (
-    ", cp AS (SELECT (doc_id << 24) + passage_no AS chunk_id, passage, CAST(doc_id AS VARCHAR) AS tag, 0 AS seq FROM cp0)"
+    ", cp AS (SELECT doc_id * 2147483648 + passage_no AS chunk_id, passage, CAST(doc_id AS VARCHAR) AS tag, 0 AS seq FROM cp0)"
 )
 BENCH_SRC = "bm AS (SELECT item_id AS doc_id, text FROM benchmark)"
 CP_BENCH = BENCH_SRC + ", " + passages_sql("cp0", "bm", 60, 60) + (
-    ", cp AS (SELECT (doc_id << 24) + passage_no AS chunk_id, passage, 'b' AS tag, 0 AS seq FROM cp0)"
+    ", cp AS (SELECT doc_id * 2147483648 + passage_no AS chunk_id, passage, 'b' AS tag, 0 AS seq FROM cp0)"
 )
 
 

@@ -34,7 +34,7 @@ def bench_matches(spark, sf, floor=0.0):
 @check("best_match_per_passage", f"{BENCH_FULL} SELECT doc_id, passage_no, score, coalesce(chunk_id, -1) AS chunk_id FROM best")
 def _(spark, sf):
     b = O.best_match_per_passage(P.query_passages(docs(spark, sf)), P.corpus_passages(benchmark_docs(spark, sf)))
-    return b.select("doc_id", "passage_no", "score", F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"))
+    return b.select("doc_id", "passage_no", "score", F.coalesce(F.col("chunk_id").cast("long"), F.lit(-1)).alias("chunk_id"))
 
 
 @check("lexical_corroboration", f"{BENCH_FULL} SELECT doc_id, passage_no, round(word_overlap, 6) AS word_overlap, round(ngram_overlap, 6) AS ngram_overlap, verified FROM found WHERE score >= 0.45")
@@ -67,7 +67,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = docs(spark, sf)
     m = O.best_match_per_passage(P.query_passages(d), P.corpus_passages(d), exclude_own_tag=True)
-    return m.filter("score > 0").select("doc_id", "passage_no", "score", "chunk_id")
+    return m.filter("score > 0").select("doc_id", "passage_no", "score", F.col("chunk_id").cast("long").alias("chunk_id"))
 
 
 @check("tfidf_vectors", f"""WITH RECURSIVE {BENCH_SRC}, {passages_sql('cp', 'bm', 60, 60)}, cd AS (SELECT md5(passage) AS key, any_value(passage) AS passage FROM cp GROUP BY 1),

@@ -94,12 +94,15 @@ def _(spark, sf):
  s1 AS (SELECT r.prev, r.term, -ln(0.7 * coalesce(o.n / c.n, 0.0) + 0.3 * (coalesce(u.n, 0) + 1.0) / (t.tokens + t.vocab)) AS nll FROM pr r LEFT JOIN obs o ON o.prev = r.prev AND o.term = r.term
    LEFT JOIN ouni u ON u.term = r.term LEFT JOIN ouni c ON c.term = r.prev, ot t),
  h AS (SELECT p.prev, sum(p.n / pc.n * s1.nll) AS h FROM per p JOIN pc ON pc.prev = p.prev JOIN s1 ON s1.prev = p.prev AND s1.term = p.term GROUP BY 1)
- SELECT b.doc_id, round(avg(s1.nll), 6) AS log_perplexity, round(avg(h.h), 6) AS cross_entropy FROM bg b JOIN s1 ON s1.prev = b.prev AND s1.term = b.term LEFT JOIN h ON h.prev = b.prev GROUP BY 1""")
+, t2 AS (SELECT b.doc_id, avg(s1.nll) AS lp, avg(h.h) AS ce, avg(s1.nll) / nullif(avg(h.h), 0) AS q, count(*) AS n FROM bg b JOIN s1 ON s1.prev = b.prev AND s1.term = b.term LEFT JOIN h ON h.prev = b.prev GROUP BY 1)
+ SELECT doc_id, round(lp, 6) AS log_perplexity, round(ce, 6) AS cross_entropy, round(q, 6) AS ratio,
+  round(CASE WHEN q IS NULL THEN 50.0 WHEN q <= 0.92 THEN least(100.0, 75.0 + (0.92 - q) / 0.92 * 200.0) WHEN q >= 0.935 THEN greatest(0.0, 25.0 - (q - 0.935) / 0.935 * 200.0) ELSE 75.0 - (q - 0.92) / 0.015 * 50.0 END, 1) AS score,
+  CASE WHEN n < 120 THEN 'low' WHEN least(abs(q - 0.92), abs(q - 0.935)) > 0.12 THEN 'high' WHEN least(abs(q - 0.92), abs(q - 0.935)) > 0.05 THEN 'medium' ELSE 'low' END AS confidence FROM t2""")
 def _(spark, sf):
     d = docs(spark, sf)
     one, two = (M.ngram_lm_fit(d.filter(F.col("doc_id") % 2 == i)) for i in (0, 1))
     return M.two_model_ratio(d, ["doc_id"], one, two).select(
-        "doc_id", r6("log_perplexity").alias("log_perplexity"), r6("cross_entropy").alias("cross_entropy")
+        "doc_id", r6("log_perplexity").alias("log_perplexity"), r6("cross_entropy").alias("cross_entropy"), r6("ratio").alias("ratio"), "score", "confidence"
     )
 
 

@@ -9,10 +9,6 @@ from ..functions import lexicon as L
 from ..functions import scores as B
 
 
-def call_band(score: Column) -> Column:
-    return B.verdict_band(score, ("ai", "human", "uncertain"))
-
-
 def stratified_sample(
     samples: DataFrame, k: int, by: str = "group", id_col: str = "doc_id", seed: int = 0
 ) -> DataFrame:

@@ -24,7 +24,7 @@ def query_passages(docs: DataFrame) -> DataFrame:
 
 
 def corpus_passages(docs: DataFrame) -> DataFrame:
-    """chunk_id, passage, tag, seq of stored documents; chunk ids follow doc ids."""
+    """chunk_id, passage, tag, seq of stored documents; chunk ids follow doc ids and never collide."""
     d = docs
     if "tag" not in d.columns:
         d = d.withColumn("tag", F.col("doc_id").cast("string"))
@@ -32,7 +32,7 @@ def corpus_passages(docs: DataFrame) -> DataFrame:
         d = d.withColumn("seq", F.lit(0).cast("long"))
     p = G.explode_passages(d, keep=("tag", "seq"), stride=L.STORE_STRIDE)
     return p.select(
-        (F.shiftleft(F.col("doc_id"), 24) + F.col("passage_no")).alias("chunk_id"), "passage", "tag", "seq"
+        O.chunk_number(F.col("doc_id"), F.col("passage_no")).alias("chunk_id"), "passage", "tag", "seq"
     )
 
 

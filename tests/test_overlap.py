@@ -51,7 +51,7 @@ def windows(text, size, stride):
 
 def brute(rows, stored, floor, allow):
     tok = lambda s: re.findall(r"[a-z0-9']+", s.lower())
-    chunks = [(d * (1 << 24) + k, p, tag, d) for d, t, tag in stored for k, p in enumerate(windows(t, 60, 60))]
+    chunks = [(d * (1 << 31) + k, p, tag, d) for d, t, tag in stored for k, p in enumerate(windows(t, 60, 60))]
     texts = sorted({c[1] for c in chunks})
     df = Counter(w for t in texts for w in set(tok(t)))
     idf = lambda w: math.log((len(texts) + 1) / (df.get(w, 0) + 1))
@@ -92,7 +92,7 @@ def test_best_match_equals_brute_force(spark, rows, mode, floor):
         "any": lambda t, d, ct, cd: True, "own": lambda t, d, ct, cd: t != ct, "early": lambda t, d, ct, cd: cd < d,
     }[mode]
     want = brute(rows, rows, floor, allow)
-    seen = {(r.doc_id, r.passage_no): (r.score, r.chunk_id) for r in got.collect()}
+    seen = {(r.doc_id, r.passage_no): (r.score, None if r.chunk_id is None else int(r.chunk_id)) for r in got.collect()}
     assert seen.keys() == want.keys()
     for k, (score, cid) in want.items():
         assert seen[k][0] == pytest.approx(score, abs=2e-9)
@@ -104,7 +104,7 @@ def test_report_invariants_and_no_self_match(spark, rows):
     found = P.match_passages(df, df, exclude_own_tag=True)
     own = {d: tag for d, _, tag in rows}
     for r in found.filter("chunk_id IS NOT NULL").collect():
-        assert own[r.chunk_id >> 24] != own[r.doc_id]
+        assert own[int(r.chunk_id) >> 31] != own[r.doc_id]
         if r.score >= 0.45:
             assert r.verified == (r.word_overlap >= 0.25 or r.ngram_overlap >= 0.15)
     for r in O.overlap_report(found).collect():
