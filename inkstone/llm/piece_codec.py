@@ -32,6 +32,11 @@ from inkstone.llm.word_hashes import mix
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+#: Finer units, for vocabularies that have no piece with a newline or with a letter beside a mark: lines are
+#: parted, and the marks at the end of a word stand alone.
+FINE_UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]*[{LETTERS}](?=[{MARKS}]+(?:[{BLANK}\n]|$))|{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+JOINED = re.compile(f"\n|[{LETTERS}][{MARKS}]|[{MARKS}][{LETTERS}]")
 VARIANTS = 8
 LONG_UNIT = 40
 NONE, UNKNOWN = np.int64(2**50), 1 << 20
@@ -44,7 +49,7 @@ _loaded: dict[tuple, "PieceCodec"] = {}
 class PieceCodec:
     """Ids of whole texts and back; forgets the later half of its units at ``limit`` units."""
 
-    def __init__(self, path: str, dropout: float, seed: int, limit: int = 1_200_000) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, limit: int = 2_200_000) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.seed, self.limit = seed, limit
         self.bound = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
@@ -62,6 +67,7 @@ class PieceCodec:
             self.raw[i] = names[i].replace(BLANK, " ").encode()
         for b, i in self.byte_id.items():
             self.raw[i] = bytes([b])
+        self.unit = UNIT if any(JOINED.search(names[i]) for i in usual) else FINE_UNIT
         # every way to make a piece of two pieces; rank: order of falling score, pieces of one score together
         scores = {i: model.get_score(i) for i in usual}
         rank = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
@@ -221,7 +227,7 @@ class PieceCodec:
                 while end > 0 and marked[end - 1] == BLANK:
                     end = marked.find(BLANK, end + 1)
                 end = len(marked) if end <= 0 else end
-            units = UNIT.findall(marked, at, end)
+            units = self.unit.findall(marked, at, end)
             variants = (mix(seed + np.arange(number, number + len(units), dtype=np.uint64) * _C1) & np.uint64(VARIANTS - 1)).astype(np.int64)
             yield units, variants.tolist() if self.bound else [0] * len(units), stand_in
             at, number = end, number + len(units)
