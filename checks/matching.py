@@ -224,7 +224,7 @@ def _(spark, sf):
 # --- rewriting ----------------------------------------------------------------------
 
 EXC_SQL = """tm AS (SELECT doc_id, passage, row_number() OVER (PARTITION BY doc_id ORDER BY verified DESC, round(score * 100, 1) DESC, passage_no) AS rank, verified FROM found WHERE score >= 0.45),
-exc AS (SELECT doc_id, list(passage) AS excerpts FROM tm WHERE rank <= 8 AND verified GROUP BY 1)"""
+exc AS (SELECT doc_id, list(passage) AS excerpts FROM tm WHERE verified GROUP BY 1)"""
 TOUCH_SQL = f"""{EXC_SQL}, ts AS (SELECT d.doc_id, {sents('d.text')} AS ss, e.excerpts FROM documents d JOIN exc e ON e.doc_id = d.doc_id),
 tr AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_no, excerpts FROM ts),
 touch AS (SELECT doc_id, sent_no, sentence, len(list_filter(excerpts, lambda e0: contains(e0, sentence))) > 0 AS touched FROM tr)"""

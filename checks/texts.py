@@ -127,7 +127,7 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(T.pseudo_lines(T.strip(TXT())), "|").alias("parts"))
 
 
-TAB_SQL = lambda src: f"""WITH t AS (SELECT doc_id, list_filter({lines(ST)}, lambda x0: {strip('x0')} <> '')[1:30] AS ls FROM {src})
+TAB_SQL = lambda src: f"""WITH t AS (SELECT doc_id, list_filter({lines(ST)}, lambda x0: {strip('x0')} <> '') AS ls FROM {src})
  SELECT doc_id, len(ls) >= 3 AND (len(list_filter(ls, lambda x1: len(x1) - len(replace(x1, ',', '')) >= 3))
    + len(list_filter(ls, lambda x2: len(x2) - len(replace(x2, chr(9), '')) >= 3))) / nullif(len(ls), 0) > 0.5 AS is_tabular FROM t"""
 

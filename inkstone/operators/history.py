@@ -87,7 +87,7 @@ def chunk_history_join(chunks: DataFrame, history: DataFrame) -> DataFrame:
     return chunks.join(h, "history_id")
 
 
-def corpus_cap(chunks: DataFrame, cap: int = L.CORPUS_CAP, order: str = "chunk_id") -> DataFrame:
+def corpus_cap(chunks: DataFrame, cap: int, order: str = "chunk_id") -> DataFrame:
     """The newest ``cap`` chunks, as a boundary value instead of a global sort.
 
     Each partition offers its newest ``cap`` ids; only the lowest id that

@@ -68,8 +68,8 @@ def column_roles(df: DataFrame, row_no: str = "row_no") -> DataFrame:
     return sample.join(kinds, ["pos", "column"]).select("pos", "column", role.alias("role"))
 
 
-def column_profile(df: DataFrame, row_no: str = "row_no", max_columns: int = 25) -> DataFrame:
-    """dtype, missing percent, and min/max/avg or the five top values per column."""
+def column_profile(df: DataFrame, row_no: str = "row_no", max_columns: int | None = None) -> DataFrame:
+    """dtype, missing percent, and min/max/avg or the five top values per column (or per the first ``max_columns``)."""
     keep = [c for c in df.columns if c != row_no][:max_columns]
     cells = unpivot_cells(df.select(row_no, *keep), row_no)
     sample = first_cells(cells, row_no).groupBy("pos", "column").agg(
