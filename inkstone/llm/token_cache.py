@@ -91,11 +91,11 @@ def unit_edges(raw: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordCache:
-    """Ids of units, found by the 64-bit hash of their bytes; emptied at ``limit`` units (about 70 MB)."""
+    """Ids of units, found by the 64-bit hash of their bytes; emptied at ``limit`` units (about 120 MB)."""
 
-    SLOTS = 21
+    SLOTS = 22
 
-    def __init__(self, path: str, kind: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 1_600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # the same model without the steps before it, which leave a unit of plain letters whole

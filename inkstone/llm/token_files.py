@@ -157,7 +157,13 @@ def write_token_files(docs: DataFrame, to: str, path: str, kind: str = "byte", e
             yield segment()
 
     ordered = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(coded, "part int, seq int, n_docs bigint, n_ids bigint, segment binary").write.option("compression", "zstd").parquet(to)
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "1000")  # texts are long: smaller batches, less memory outside the heap
+    try:
+        ordered.mapInArrow(coded, "part int, seq int, n_docs bigint, n_ids bigint, segment binary").write.option("compression", "zstd").parquet(to)
+    finally:
+        conf.set(name, before)
 
 
 def read_token_files(spark: SparkSession, at: str, with_ids: bool = False) -> DataFrame:
