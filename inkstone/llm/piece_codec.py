@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.shared import table, text_of
+from inkstone.llm.shared import kept_in_process, table, text_of
 from inkstone.llm.word_hashes import mix
 
 BLANK = "▁"
@@ -43,13 +43,11 @@ NONE, UNKNOWN = np.int64(2**50), 1 << 20
 BATCH_CHARS = 1_000_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
-_loaded: dict[tuple, "PieceCodec"] = {}
-
 
 class PieceCodec:
     """Ids of whole texts and back; forgets the later half of its units at ``limit`` units."""
 
-    def __init__(self, path: str, dropout: float, seed: int, limit: int = 2_200_000) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, limit: int = 1_500_000) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.seed, self.limit = seed, limit
         self.bound = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
@@ -283,9 +281,8 @@ class PieceCodec:
 
 
 def piece_codec(path: str, dropout: float, seed: int) -> PieceCodec:
-    if (path, dropout, seed) not in _loaded:
-        _loaded[path, dropout, seed] = PieceCodec(path, dropout, seed)
-    return _loaded[path, dropout, seed]
+    """The codec of this process, kept over batches and tasks of a reused worker."""
+    return kept_in_process(("pieces", path, dropout, seed), lambda: PieceCodec(path, dropout, seed))
 
 
 def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 17, check: bool = False) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,3 +69,15 @@ def bounded_sample(rows: DataFrame, group: str, keys: list[str], limit: int) ->
             share = F.when(F.col(group) == found[group], F.lit(int((2 * limit + 1000) / found["count"] * (2**63 - 1)))).otherwise(share)
     place = F.row_number().over(Window.partitionBy(group).orderBy(rank, *keys))
     return rows.where(rank <= share).withColumn("place", place).where(F.col("place") <= limit)
+
+
+def kept_in_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave the first time in this Python process.
+
+    Functions travel to tasks by value, so a global of theirs ends with the task;
+    a module in ``sys.modules`` lasts as long as the reused worker.
+    """
+    store = sys.modules.setdefault("_inkstone_kept", types.ModuleType("_inkstone_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from inkstone.llm.shared import kept_in_process
 from inkstone.llm.word_hashes import span_hashes
 
 #: Spark runs one task per core: threads inside a task would only take memory.
@@ -43,8 +44,6 @@ def _byte_letters() -> dict[int, str]:
 
 BYTE_LETTERS = _byte_letters()
 
-_loaded: dict[tuple[str, str], "WordCache"] = {}
-
 SPACE, LINE, BREAK = 0x20, 0x0A, 0xFF
 
 
@@ -237,6 +236,4 @@ class WordCache:
 
 def word_cache(path: str, kind: str) -> WordCache:
     """The cache of this process, kept over batches and tasks of a reused worker."""
-    if (path, kind) not in _loaded:
-        _loaded[path, kind] = WordCache(path, kind)
-    return _loaded[path, kind]
+    return kept_in_process(("words", path, kind), lambda: WordCache(path, kind))
