@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 
-PIECE_CHARS = 1_000_000
+PIECE_CHARS = 400_000
 
 
 def pieces(texts: Sequence[str | None], overlap: int = 0, limit: int = PIECE_CHARS) -> Iterator[tuple[list[int], list[str]]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.grams import hashed_grams, pieces, split_words, word_sums
-from inkstone.llm.shared import bounded_sample, table
+from inkstone.llm.shared import bounded_sample, release_memory, table
 
 LOW, HIGH, BITS = 1, 4, 18
 SCALE = 50.0
@@ -151,6 +151,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
                 yield pd.DataFrame({"lang_pred": ["und"] * len(texts), "lang_score": [0.0] * len(texts)})
                 continue
             p = model.probabilities(texts)
+            release_memory()
             best = p.argmax(axis=1)
             known = np.array([x is not None for x in texts], dtype=bool)
             yield pd.DataFrame(

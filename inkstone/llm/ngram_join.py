@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.components import components
-from inkstone.llm.shared import table
+from inkstone.llm.shared import release_memory, table
 from inkstone.llm.word_hashes import gram_hashes, mix, to_bytes, word_hashes
 from inkstone.session import materialize
 
@@ -68,6 +68,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release_memory()
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 keys, sizes, hashes = [], [], []

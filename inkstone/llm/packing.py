@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.shared import table, text_of
+from inkstone.llm.shared import release_memory, table, text_of
 from inkstone.llm.token_cache import word_cache
 
 CAPACITY = 4096
@@ -91,6 +91,7 @@ def token_pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(path, kind)
         for batch in batches:
+            release_memory()
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 out = _piece_batch(some.column(0).to_pylist(), list(cache.encode(some.column(1).to_pylist())), end, capacity)

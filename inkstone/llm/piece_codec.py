@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.shared import kept_in_process, table, text_of
+from inkstone.llm.shared import kept_in_process, release_memory, table, text_of
 from inkstone.llm.word_hashes import mix
 
 BLANK = "▁"
@@ -299,6 +299,7 @@ def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = piece_codec(path, dropout, seed)
         for batch in batches:
+            release_memory()
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 texts = some.column(1).to_pylist()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.shared import WORD_GAP, table
+from inkstone.llm.shared import WORD_GAP, release_memory, table
 from inkstone.llm.word_hashes import gram_hashes, to_bytes, word_hashes
 from inkstone.session import materialize
 
@@ -65,6 +65,7 @@ def _describe(docs: DataFrame, window: int) -> DataFrame:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release_memory()
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 sizes, digests, hashes, places = [], [], [], []

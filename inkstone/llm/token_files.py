@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.shared import table, text_of
+from inkstone.llm.shared import release_memory, table, text_of
 from inkstone.llm.token_cache import word_cache
 from inkstone.session import scratch_dir
 
@@ -144,6 +144,7 @@ def write_token_files(docs: DataFrame, to: str, path: str, kind: str = "byte", e
             )
 
         for batch in batches:
+            release_memory()
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 for doc_id, own in zip(some.column(0).to_pylist(), cache.encode(some.column(1).to_pylist()), strict=True):
@@ -181,6 +182,7 @@ def read_token_files(spark: SparkSession, at: str, with_ids: bool = False) -> Da
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release_memory()
             for part, seq, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 doc_ids, sizes, ids = read_segment(data.as_py())
                 raw = ids.astype("<u4").tobytes()

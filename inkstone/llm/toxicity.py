@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstone.llm.grams import hashed_grams, pieces, split_words, word_sums
-from inkstone.llm.shared import bounded_sample, table
+from inkstone.llm.shared import bounded_sample, release_memory, table
 
 LOW, HIGH, BITS, DIM, WINDOW = 3, 5, 18, 8, 16
 WIDE_STEPS, NARROW_STEPS, HALF_BATCH, VECTOR_RATE, DECAY = 250, 450, 32, 50.0, 0.995
@@ -186,7 +186,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(model.score([x if isinstance(x, str) else None for x in batch]))
+            scores = model.score([x if isinstance(x, str) else None for x in batch])
+            release_memory()
+            yield pd.Series(scores)
 
     return docs.withColumn("toxicity", scored(F.col(text)))
 
