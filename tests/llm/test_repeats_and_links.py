@@ -169,6 +169,12 @@ def test_components(spark):
     assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_of_long_ascending_chains(spark):
+    edges = [(i, i + 1) for i in range(3000)] + [(10_000 + 7 * i, 10_007 + 7 * i) for i in range(1500)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 0 if x < 10_000 else 10_000 for e in edges for x in e}
+
+
 def test_nearest_finds_what_brute_force_finds(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))
