@@ -2,11 +2,11 @@
 
 A text's units (blanks and the word after them) merge independently, as no piece
 goes on from a word into a blank. Candidate merges wait in an agenda, best score
-first, then leftmost; each is skipped for good if a hash of the seed, the unit, its
-variant and its place falls below the dropout rate. Which of ``VARIANTS`` variants a
-unit gets depends on the seed, the document and its place there, so a text is
-segmented in different but repeatable ways, and equal (unit, variant) pairs are
-merged once per task process, many at a time in numpy.
+first, then leftmost; each is skipped for good if a hash of the seed, the document,
+the unit's place there and the merge's own place falls below the dropout rate, so
+every occurrence of a unit is drawn by itself, and repeatably. What an occurrence
+gives depends only on which of the unit's spans that are pieces are skipped: results
+are kept by unit and set of skipped spans, and new ones merged many at a time in numpy.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
@@ -37,8 +38,7 @@ LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 #: parted, and the marks at the end of a word stand alone.
 FINE_UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]*[{LETTERS}](?=[{MARKS}]+(?:[{BLANK}\n]|$))|{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 JOINED = re.compile(f"\n|[{LETTERS}][{MARKS}]|[{MARKS}][{LETTERS}]")
-VARIANTS = 8
-LONG_UNIT = 40
+LONG_UNIT, MOST_SPANS = 40, 64
 NONE, UNKNOWN = np.int64(2**50), 1 << 20
 BATCH_CHARS = 1_000_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -81,16 +81,47 @@ class PieceCodec:
         self.pair_keys = np.array(keys, dtype=np.int64)[order]
         self.pair_made, self.pair_rank = np.array(made, dtype=np.int64)[order], np.array(ranks, dtype=np.int64)[order]
         self.pairs = {k: (m, r) for k, m, r in zip(keys, made, ranks, strict=True)}
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.held = 0
+        self.made = {names[i] for i in made}
+        self.longest = max(map(len, self.made), default=0)
+        place = np.arange(1 << 16, dtype=np.uint64)
+        self.place = (place >> np.uint64(8)) * _C2 + (place & np.uint64(255)) * _C3 + _C1
+        self.spans: dict[str, bytes | None] = {}
+        self.plain: dict[str, bytes] = {}
+        self.varied: dict[tuple[str, int], bytes] = {}
 
     # -- merging -----------------------------------------------------------------------------
 
-    def _keys(self, pairs: list[tuple[str, int]]) -> np.ndarray:
-        base = self.seed * VARIANTS
-        return np.fromiter(
-            (xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), (base + v) & (2**64 - 1)) for u, v in pairs), dtype=np.uint64, count=len(pairs)
-        )
+    def _spans_of(self, unit: str) -> bytes | None:
+        """start << 8 | stop of each span that a merge can make, 16 bits each; None: too many to keep results by them."""
+        n, made = len(unit), self.made
+        if n > LONG_UNIT:
+            return None
+        out = [i << 8 | j for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if unit[i:j] in made]
+        return array("H", out).tobytes() if len(out) <= MOST_SPANS else None
+
+    def _draws(self, units: list[str], keys: np.ndarray) -> list[int]:
+        """For each occurrence its skipped spans as bits, or its key above them where the unit has too many spans."""
+        if not self.bound:
+            return [0] * len(units)
+        spans = self.spans
+        for u in set(units):
+            if u not in spans:
+                spans[u] = self._spans_of(u)
+        own = [spans[u] for u in units]
+        wide = [i for i, x in enumerate(own) if x is None]
+        for i in wide:
+            own[i] = b""
+        counts = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 2
+        flat = np.frombuffer(b"".join(own), dtype=np.uint16)
+        ends = np.cumsum(counts)
+        skipped = np.flatnonzero(mix(np.repeat(keys, counts) ^ self.place[flat]) < self.bound)
+        owner = np.searchsorted(ends, skipped, side="right")
+        bits = np.zeros(len(own), dtype=np.uint64)
+        np.bitwise_or.at(bits, owner, np.uint64(1) << (skipped - (ends - counts)[owner]).astype(np.uint64))
+        draws = bits.tolist()
+        for i in wide:
+            draws[i] = 1 << 64 | int(keys[i])
+        return draws
 
     def _skipped(self, key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix(key ^ (start.astype(np.uint64) * _C2 + stop.astype(np.uint64) * _C3 + _C1)) < self.bound
@@ -164,20 +195,33 @@ class PieceCodec:
                 add(before[i], i)
         return [s for s in symbols if s != -2]
 
-    def _learn(self, wanted: Sequence[tuple[list[str], list[int], str]]) -> None:
-        """Merge the units that are not known yet in their variant."""
-
-        def unknown() -> list[tuple[str, int]]:
-            known = self.known
-            return list({(u, v) for units, variants, _ in wanted for u, v in zip(units, variants, strict=True) if u not in known[v]})
-
-        fresh = unknown()
-        if not fresh:
-            return
-        if self.held + len(fresh) > self.limit:
-            self.known = [dict(islice(k.items(), len(k) // 2)) for k in self.known]
-            fresh = unknown()
-        keys = self._keys(fresh)
+    def _merged(self, cuts: Sequence[tuple[list[str], np.ndarray, str]]) -> list[bytes]:
+        """Ids of each cut; merges the units that are not known yet with the spans they skip."""
+        units = [u for own, _, _ in cuts for u in own]
+        keys = np.concatenate([k for _, k, _ in cuts]) if cuts else np.zeros(0, dtype=np.uint64)
+        if len(self.plain) + len(self.varied) + len(self.spans) > self.limit:
+            for name in ("plain", "varied", "spans"):
+                kept = getattr(self, name)
+                setattr(self, name, dict(islice(kept.items(), len(kept) // 2)))
+        draws = self._draws(units, keys)
+        plain, varied = self.plain, self.varied
+        fresh = {
+            (u, d): i for i, (u, d) in enumerate(zip(units, draws, strict=True)) if (u not in plain if not d else (u, d) not in varied)
+        }
+        self._learn(list(fresh), keys[list(fresh.values())])
+        ids = [varied[u, d] if d else plain[u] for u, d in zip(units, draws, strict=True)]
+        for pair in fresh:
+            if pair[1] >> 64:  # drawn by its key, which does not come again
+                del varied[pair]
+        out, at = [], 0
+        for own, _, stand_in in cuts:
+            whole = b"".join(ids[at : at + len(own)])
+            out.append(self._literal(whole, stand_in) if stand_in else whole)
+            at += len(own)
+        return out
+
+    def _learn(self, fresh: list[tuple[str, int]], keys: np.ndarray) -> None:
+        """Merge units, each by the key of one occurrence that skips these spans."""
         by_length: dict[int, list[int]] = {}
         for i, (u, _) in enumerate(fresh):
             by_length.setdefault(len(u), []).append(i)
@@ -191,9 +235,12 @@ class PieceCodec:
                     text = "".join([fresh[i][0] for i in part]).encode("utf-32-le", "surrogatepass")
                     done = self._merge_many(self.char_id[np.frombuffer(text, dtype="<u4")].reshape(len(part), n), keys[part])
                 for i, ids in zip(part, done, strict=True):
-                    unit, v = fresh[i]
-                    self.known[v][unit] = ids if isinstance(ids, bytes) else self._spelled(unit, ids)
-        self.held = sum(map(len, self.known))
+                    unit, draw = fresh[i]
+                    spelled = ids if isinstance(ids, bytes) else self._spelled(unit, ids)
+                    if draw:
+                        self.varied[unit, draw] = spelled
+                    else:
+                        self.plain[unit] = spelled
 
     def _spelled(self, unit: str, ids: Sequence[int] | np.ndarray) -> bytes:
         """Little-endian ids, with bytes in place of characters that are no piece."""
@@ -211,8 +258,8 @@ class PieceCodec:
 
     # -- texts -------------------------------------------------------------------------------
 
-    def _cut(self, text: str, document: int) -> Iterator[tuple[list[str], list[int], str]]:
-        """Units, their variants and the stand-in for the blank mark, for each piece of about BATCH_CHARS of a text."""
+    def _cut(self, text: str, document: int) -> Iterator[tuple[list[str], np.ndarray, str]]:
+        """Units, the keys of their draws and the stand-in for the blank mark, for each piece of about BATCH_CHARS of a text."""
         literal = BLANK in text
         stand_in = next(c for c in map(chr, range(0xF0000, 0x10FFFE)) if c not in text) if literal else ""
         marked = BLANK + (text.replace(BLANK, stand_in) if literal else text).replace(" ", BLANK)
@@ -226,30 +273,25 @@ class PieceCodec:
                     end = marked.find(BLANK, end + 1)
                 end = len(marked) if end <= 0 else end
             units = self.unit.findall(marked, at, end)
-            variants = (mix(seed + np.arange(number, number + len(units), dtype=np.uint64) * _C1) & np.uint64(VARIANTS - 1)).astype(np.int64)
-            yield units, variants.tolist() if self.bound else [0] * len(units), stand_in
+            yield units, mix(seed + np.arange(number, number + len(units), dtype=np.uint64) * _C1), stand_in
             at, number = end, number + len(units)
 
     def encode(self, texts: Sequence[str], documents: Sequence[int]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; ``documents`` are the numbers that vary the variants."""
-        waiting: list[list[tuple[list[str], list[int], str]]] = []
+        """Ids of each text as little-endian unsigned 32-bit integers; ``documents`` are the numbers that vary the draws."""
+        waiting: list[list[tuple[list[str], np.ndarray, str]]] = []
         size = 0
 
         def flush() -> Iterator[bytes]:
             nonlocal waiting, size
-            self._learn([x for parts in waiting for x in parts])
+            done = iter(self._merged([x for parts in waiting for x in parts]))
             for parts in waiting:
-                yield b"".join(self._looked_up(*x) for x in parts)
+                yield b"".join(islice(done, len(parts)))
             waiting, size = [], 0
 
         for text, document in zip(texts, documents, strict=True):
             if len(text) > BATCH_CHARS:
                 yield from flush()
-                whole = []
-                for part in self._cut(text, document):
-                    self._learn([part])
-                    whole.append(self._looked_up(*part))
-                yield b"".join(whole)
+                yield b"".join(x for part in self._cut(text, document) for x in self._merged([part]))
                 continue
             waiting.append(list(self._cut(text, document)) if text else [])
             size += len(text)
@@ -257,11 +299,6 @@ class PieceCodec:
                 yield from flush()
         yield from flush()
 
-    def _looked_up(self, units: list[str], variants: list[int], stand_in: str) -> bytes:
-        known = self.known
-        ids = b"".join([known[v][u] for u, v in zip(units, variants, strict=True)])
-        return self._literal(ids, stand_in) if stand_in else ids
-
     def _literal(self, ids: bytes, stand_in: str) -> bytes:
         """The stand-in's bytes replaced by those of the blank mark itself."""
         code = lambda c: np.array([self.byte_id[b] for b in c.encode()], dtype="<u4").tobytes()

@@ -146,6 +146,20 @@ def test_dropout_varies_by_document_and_seed_and_repeats(monkeypatch):
     assert next(C.PieceCodec(PIECE, 0.3, 1, limit=30).encode([text], [1])) == a
 
 
+def test_each_occurrence_is_drawn_by_itself(monkeypatch):
+    codec, unit = C.PieceCodec(PIECE, 0.1, 1), "▁international"
+    texts = [" ".join(["international"] * 500)] * 4
+    out = list(codec.encode(texts, range(4)))
+    ways = {ids for (u, _), ids in codec.varied.items() if u == unit} | {codec.plain[unit]}
+    assert len(ways) > 20 and [codec.decode(x) for x in out] == texts
+    # each is what the heap gives for the occurrence's own key
+    for number, ids in enumerate(out):
+        (units, keys, _), = codec._cut(texts[number], number)
+        assert ids == b"".join(codec._spelled(u, codec.merge_one([codec.id_of.get(c, -1) for c in u], int(k))) for u, k in zip(units, keys, strict=True))
+    monkeypatch.setattr(C, "MOST_SPANS", 3)  # by key where there are too many spans
+    assert list(C.PieceCodec(PIECE, 0.1, 1).encode(texts, range(4))) == out
+
+
 def test_encoded_and_decoded_rows(awkward, nothing):
     out = C.encode_documents(awkward, PIECE, check=True).collect()
     assert len(out) == awkward.count() and all(r["lossless"] for r in out)
