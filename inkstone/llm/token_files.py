@@ -4,12 +4,13 @@ Format of a segment (little-endian): ``S8B1``; uint32 documents, blocks, ids per
 block; uint64 ids; int64 doc_id of each document; uint32 ids of each document;
 uint32 first word of each block, and one more with the number of words; the words,
 uint64. Blocks hold a fixed number of ids (the last one fewer) and no word spans
-two blocks. A word's low 4 bits select how many ids of how many bits follow;
+two blocks. A segment with null doc_ids starts with ``S8B2`` and has, after the
+doc_ids, a bit for each document in whole bytes, set where its doc_id is null. A word's low 4 bits select how many ids of how many bits follow;
 selector 0 is the escape for one id too wide to share a word.
 
 Segments of about 400,000 ids are rows (part, seq, n_docs, n_ids, segment) of
 files that Spark's own writer commits, so any store works and a lost task leaves
-nothing behind; parts are ranges of doc_id, seq counts within a part.
+nothing behind; parts are ranges of doc_id and text, seq counts within a part.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from inkstone.session import scratch_dir
 SELECTORS = ((1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 BLOCK_IDS = 1024
 SEGMENT_IDS = 400_000
-MAGIC = b"S8B1"
+MAGIC, MAGIC_NULLS = b"S8B1", b"S8B2"
+#: Characters of a text that part rows of one doc_id into ranges.
+RANGE_CHARS = 64
 
 
 def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
@@ -93,25 +96,33 @@ def decode_ids(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_segment(doc_ids: list[int], encoded: list[bytes], block: int = BLOCK_IDS) -> bytes:
+def write_segment(doc_ids: list[int | None], encoded: list[bytes], block: int = BLOCK_IDS) -> bytes:
     """One segment of whole documents, given their ids as little-endian unsigned 32-bit integers."""
     ids = np.frombuffer(b"".join(encoded), dtype="<u4")
     words, offsets = encode_ids(ids, block)
-    head = MAGIC + struct.pack("<IIIQ", len(doc_ids), len(offsets) - 1, block, len(ids))
+    absent = np.fromiter((x is None for x in doc_ids), dtype=bool, count=len(doc_ids))
+    nulls = np.packbits(absent, bitorder="little").tobytes() if absent.any() else b""
+    numbers = np.asarray([0 if x is None else x for x in doc_ids], dtype="<i8").tobytes()
+    head = (MAGIC_NULLS if nulls else MAGIC) + struct.pack("<IIIQ", len(doc_ids), len(offsets) - 1, block, len(ids))
     sizes = np.fromiter((len(x) // 4 for x in encoded), dtype="<u4", count=len(encoded))
-    return b"".join([head, np.asarray(doc_ids, dtype="<i8").tobytes(), sizes.tobytes(), offsets.tobytes(), words.tobytes()])
+    return b"".join([head, numbers, nulls, sizes.tobytes(), offsets.tobytes(), words.tobytes()])
 
 
 def read_segment(data: bytes, blocks: slice | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, their numbers of ids, and the ids of all blocks or of some, found by the block offsets."""
-    if data[:4] != MAGIC:
+    """doc_ids, their numbers of ids, and the ids of all blocks or of some, found by the block offsets; doc_ids are masked where null."""
+    if data[:4] not in (MAGIC, MAGIC_NULLS):
         raise ValueError("not a segment of token ids")
     n_docs, n_blocks, _, n_ids = struct.unpack_from("<IIIQ", data, 4)
     at = 4 + struct.calcsize("<IIIQ")
     doc_ids = np.frombuffer(data, dtype="<i8", count=n_docs, offset=at)
-    sizes = np.frombuffer(data, dtype="<u4", count=n_docs, offset=at + 8 * n_docs)
-    offsets = np.frombuffer(data, dtype="<u4", count=n_blocks + 1, offset=at + 12 * n_docs)
-    words = np.frombuffer(data, dtype="<u8", count=int(offsets[-1]), offset=at + 12 * n_docs + 4 * (n_blocks + 1))
+    at += 8 * n_docs
+    if data[:4] == MAGIC_NULLS:
+        bits = np.frombuffer(data, dtype=np.uint8, count=-(-n_docs // 8), offset=at)
+        doc_ids = np.ma.array(doc_ids, mask=np.unpackbits(bits, count=n_docs, bitorder="little").astype(bool))
+        at += len(bits)
+    sizes = np.frombuffer(data, dtype="<u4", count=n_docs, offset=at)
+    offsets = np.frombuffer(data, dtype="<u4", count=n_blocks + 1, offset=at + 4 * n_docs)
+    words = np.frombuffer(data, dtype="<u8", count=int(offsets[-1]), offset=at + 4 * n_docs + 4 * (n_blocks + 1))
     if blocks is not None:
         chosen = range(n_blocks)[blocks]
         return doc_ids, sizes, decode_ids(words[offsets[chosen.start] : offsets[chosen.stop]] if len(chosen) else words[:0])
@@ -124,15 +135,15 @@ def read_segment(data: bytes, blocks: slice | None = None) -> tuple[np.ndarray,
 def write_token_files(docs: DataFrame, to: str, path: str, kind: str = "byte", end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode all texts, each with ``end_id`` after it, to segments below ``to`` in ascending doc_id order.
 
-    Null doc_ids are not allowed (an id names its document); null and empty texts
-    hold the end id alone. Rows that share a doc_id stand side by side, ordered by
-    text. A document is never split, so segments hold at least one.
+    Null doc_ids come first and stay null; null and empty texts hold the end id
+    alone. Rows that share a doc_id, or have none, stand side by side, ordered by
+    text, in as many parts as their number asks for. A document is never split, so segments hold at least one.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, seq = word_cache(path, kind), TaskContext.get().partitionId(), 0
-        held_ids: list[int] = []
+        held_ids: list[int | None] = []
         held: list[bytes] = []
         size = 0
 
@@ -157,7 +168,7 @@ def write_token_files(docs: DataFrame, to: str, path: str, kind: str = "byte", e
         if held:
             yield segment()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
     conf.set(name, "1000")  # texts are long: smaller batches, less memory outside the heap
@@ -190,7 +201,7 @@ def read_token_files(spark: SparkSession, at: str, with_ids: bool = False) -> Da
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 n = len(doc_ids)
                 columns = [
-                    pa.array(np.full(n, part.as_py(), dtype=np.int32)), pa.array(np.full(n, seq.as_py(), dtype=np.int32)), pa.array(doc_ids.astype(np.int64)),
+                    pa.array(np.full(n, part.as_py(), dtype=np.int32)), pa.array(np.full(n, seq.as_py(), dtype=np.int32)), pa.array(np.ma.getdata(doc_ids).astype(np.int64), mask=np.ma.getmaskarray(doc_ids)),
                     pa.array(edges[:-1]), pa.array(sizes.astype(np.int64)), pa.array(crc, type=pa.int64()),
                 ]
                 names = ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"]

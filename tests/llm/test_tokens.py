@@ -7,6 +7,7 @@ import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkstone.llm import packing as P
@@ -106,6 +107,20 @@ def test_token_files_round_trip(spark, awkward, nothing, tmp_path):
     assert T.read_token_files(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_token_files_keep_rows_without_an_id(spark, awkward, tmp_path):
+    more = awkward.limit(1).select(*[F.lit(None).cast("long").alias(c) if c == "doc_id" else F.lit("another").alias(c) if c == "text" else F.col(c) for c in awkward.columns])
+    docs = awkward.unionByName(more)
+    T.write_token_files(docs, str(tmp_path / "a"), BYTE, segment_ids=200)
+    got = T.read_token_files(spark, str(tmp_path / "a"), with_ids=True).orderBy("start").collect()
+    own = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    assert [r["doc_id"] for r in got] == [d for d, _ in own] and [d for d, _ in own].count(None) == 2
+    end = np.array([2], dtype="<u4").tobytes()
+    assert [np.array(r["ids"], dtype="<u4").tobytes() for r in got] == [x + end for x in whole(BYTE, [t for _, t in own])]
+    data = [np.arange(n, dtype="<u4").tobytes() for n in range(11)]
+    doc_ids, sizes, ids = T.read_segment(T.write_segment([None, 0, -1, *[None] * 7, 5], data))
+    assert doc_ids.tolist() == [None, 0, -1, *[None] * 7, 5] and sizes.tolist() == list(range(11)) and len(ids) == 55
+
+
 def test_a_damaged_segment_is_refused():
     data = T.write_segment([5], [np.arange(10, dtype="<u4").tobytes()])
     doc_ids, sizes, ids = T.read_segment(data)
