@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.language_id import predict_language, train_language_model
@@ -20,7 +20,7 @@ from inkstone.llm.ngram_join import similar_documents
 from inkstone.llm.packing import pack_documents
 from inkstone.llm.secret_scan import redact_secrets
 from inkstone.llm.substring_dedup import remove_repeats
-from inkstone.session import drop_scratch, scratch_base, scratch_tables
+from inkstone.session import drop_scratch, materialize, scratch_base, scratch_tables
 
 #: A document goes if its language can't be told (no text, no letter) or is a mere guess.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -55,13 +55,20 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each group of near duplicates, one row of it (by order of text)."""
-    classes = similar_documents(docs)
-    lead = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(lead, "doc_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("_pipeline_place", place).where(F.col("_pipeline_place") == 1).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The row with the least (doc_id, digest of the text) of each group of similar texts; rows without an id stay.
+
+    Rows are numbered and linked by their texts alone, so different texts under one
+    doc_id all stay. Texts without words are similar to none; of equal ones under one
+    doc_id one row stays.
+    """
+    rows = materialize(docs.where(F.col("doc_id").isNotNull()).withColumn("_pipeline_row", F.monotonically_increasing_id()), "rows")
+    classes = similar_documents(rows.select(F.col("_pipeline_row").alias("doc_id"), "text"))
+    classes = classes.select(F.col("doc_id").alias("_pipeline_row"), F.col("class_id").alias("_pipeline_class"))
+    named = rows.select("_pipeline_row", "doc_id", F.sha2("text", 256).alias("_pipeline_digest")).join(classes, "_pipeline_row")
+    lead = F.min(F.struct("doc_id", "_pipeline_digest", "_pipeline_row")).alias("lead")
+    leads = named.groupBy("_pipeline_class").agg(lead).select("lead.*")
+    kept = leads.groupBy("doc_id", "_pipeline_digest").agg(F.min("_pipeline_row").alias("_pipeline_row")).select("_pipeline_row")
+    return rows.join(kept, "_pipeline_row", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:

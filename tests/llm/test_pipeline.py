@@ -69,3 +69,11 @@ def test_stages_on_awkward_and_on_no_rows(spark, awkward, nothing, tmp_path):
         assert (docs.count() > 0) == (start == "a")
     left = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "a1")).collect()}
     assert 1 in left and not left & {2, 3, 4, 5, 8, 9} and None in left and spark.read.parquet(str(tmp_path / "a1")).where(F.col("doc_id") == 1).count() == 1
+
+
+def test_rows_go_only_for_a_similar_or_equal_text(spark):
+    """Different texts under one doc_id stay, and so do near copies of a text whose id has another text."""
+    rows = [(1, prose(i, 80)) for i in range(3)] + [(1, None), (1, None), (2, prose(1, 79) + " other"), (0, prose(2, 80) + " more"), (3, None), (3, ""), (4, prose(9, 70)), (4, prose(9, 70))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, rows[0][1]), (1, rows[1][1]), (0, rows[6][1]), (1, None), (3, None), (3, ""), (4, rows[9][1])], key=str)
