@@ -15,14 +15,16 @@ import importlib.metadata
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkstone.llm.shared import WORD_GAP, kept_in_process, release_memory, table, text_of
+from inkstone.llm.shared import kept_in_process, release_memory, table, text_of
 from inkstone.llm.token_cache import word_cache
 from inkstone.session import materialize, scratch_dir
 
@@ -33,7 +35,8 @@ FEW_MISSING = 100_000
 #: A digest with at least this part of all rows is joined by broadcast; there can be no more such digests than this number.
 HOT_PART = 1000
 ENCODED_CHARS = 1_000_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Plain white space other than a single space.
+ODD_GAP = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
 def _described(path: str) -> tuple[str, list[str]]:
@@ -72,11 +75,11 @@ def normal_form(text: Column, path: str) -> Column:
     kind, special = _described(path)
     if kind != "word":
         return text
-    joined = F.trim(F.regexp_replace(text, WORD_GAP, " "))
+    joined = F.trim(F.regexp_replace(text, ODD_GAP, " "))
     plain = F.octet_length(joined) == F.char_length(joined)
     for s in special:
         plain &= ~F.lower(joined).contains(s.lower())
-    return F.when(plain, F.translate(joined, UPPER, LOWER)).otherwise(joined)
+    return F.when(plain, F.lower(joined)).otherwise(joined)
 
 
 def token_counter(path: str) -> Callable[[list[str]], list[int]]:
@@ -106,16 +109,14 @@ def token_counter(path: str) -> Callable[[list[str]], list[int]]:
     return counts
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= ENCODED_CHARS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, about ENCODED_CHARS bytes of them at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENCODED_CHARS)))
+        yield texts.slice(at, stop - at).to_pylist()
+        at = stop
 
 
 def _encoded(texts: DataFrame, path: str) -> DataFrame:
@@ -124,7 +125,7 @@ def _encoded(texts: DataFrame, path: str) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = kept_in_process(("counts", path), lambda: token_counter(path))
         for batch in batches:
-            found = [n for some in _slices(batch.column(1).to_pylist()) for n in counts(some)]
+            found = [n for some in _slices(batch.column(1)) for n in counts(some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.int64())], names=["digest", "n_tokens"])
             release_memory()
 
