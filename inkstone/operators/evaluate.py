@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import scores as B
+from .ordered import running_sums
 
 
 def stratified_sample(
@@ -49,19 +50,12 @@ def score_histogram(scored: DataFrame) -> DataFrame:
 def auroc(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """Chance that an AI text outscores a human one, ties count half.
 
-    Exact for scores with any number of digits (``digits`` rounds them first).
-    Running sums are taken within whole-number bands of the score and over the
-    bands, of which scores from 0 to 100 have 101, so no task orders all scores.
+    Exact for scores of any scale and number of digits (``digits`` rounds them
+    first): running sums go by sampled ranges of the scores, so no task orders all.
     """
     exact = scored if digits is None else scored.withColumn("score", F.round("score", digits))
-    hist = score_histogram(exact).withColumn("band", F.floor("score"))
-    before = Window.unboundedPreceding, -1
-    bands = hist.groupBy("band").agg(F.sum("neg").alias("n")).select(
-        "band", F.coalesce(F.sum("n").over(Window.orderBy("band").rowsBetween(*before)), F.lit(0)).alias("lower")
-    )
-    inside = F.sum("neg").over(Window.partitionBy("band").orderBy("score").rowsBetween(*before))
-    hist = hist.withColumn("inside", F.coalesce(inside, F.lit(0))).join(bands, "band")
-    wins = F.col("pos") * (F.col("lower") + F.col("inside") + F.col("neg") / 2.0)
+    hist = running_sums(score_histogram(exact), [], "score", {"neg": "lower"})
+    wins = F.col("pos") * (F.col("lower") + F.col("neg") / 2.0)
     return hist.select("pos", "neg", wins.alias("wins")).agg(
         (F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"),
         F.sum("pos").alias("ai_n"), F.sum("neg").alias("human_n"),
