@@ -299,12 +299,35 @@ def _(spark, sf):
 
 # --- ingestion ----------------------------------------------------------------------
 
-
-@check("ingest_compare_then_store")
+# Weights of every passage under the counts before its document (seq is doc_id).
+ARRIVAL_SQL = f"""{passages_sql('qp', 'documents', 60, 30)}, {passages_sql('cp', 'documents', 60, 60)},
+ent AS (SELECT md5(passage) AS key, min(doc_id) AS seq, min(doc_id * 2147483648 + passage_no) AS chunk_id, any_value(passage) AS passage FROM cp GROUP BY 1),
+ask AS (SELECT DISTINCT md5(passage) AS key, doc_id AS seq, passage FROM qp),
+et AS (SELECT key, seq, term, count(*) AS tf FROM (SELECT key, seq, unnest({lex('passage')}) AS term FROM ent) GROUP BY ALL),
+qt AS (SELECT key, seq, term, count(*) AS tf FROM (SELECT key, seq, unnest({lex('passage')}) AS term FROM ask) GROUP BY ALL),
+dfs AS (SELECT term, seq, sum(count(*)) OVER (PARTITION BY term ORDER BY seq) AS df FROM et GROUP BY 1, 2),
+ns AS (SELECT 0 AS k, seq, sum(count(*)) OVER (ORDER BY seq) AS n FROM ent GROUP BY 2),
+ev AS (SELECT x.key, x.seq, x.term, x.tf, coalesce(d.df, 0) AS df FROM et x ASOF LEFT JOIN dfs d ON d.term = x.term AND x.seq > d.seq),
+qv AS (SELECT x.key, x.seq, x.term, x.tf, coalesce(d.df, 0) AS df FROM qt x ASOF LEFT JOIN dfs d ON d.term = x.term AND x.seq > d.seq),
+ew AS (SELECT e.key, e.seq, e.term, e.tf * (1 + ln((coalesce(n.n, 0) + 1.0) / (e.df + 1.0))) AS raw FROM (SELECT *, 0 AS k FROM ev) e ASOF LEFT JOIN ns n ON n.k = e.k AND e.seq > n.seq),
+qw AS (SELECT e.key, e.seq, e.term, e.tf * (1 + ln((coalesce(n.n, 0) + 1.0) / (e.df + 1.0))) AS raw FROM (SELECT *, 0 AS k FROM qv) e ASOF LEFT JOIN ns n ON n.k = e.k AND e.seq > n.seq),
+eu AS (SELECT key, seq, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY key)) AS w FROM ew),
+qu AS (SELECT key, seq, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY key, seq)) AS w FROM qw),
+sim AS (SELECT a.key, a.seq, b.key AS ckey, round(sum(a.w * b.w), 9) AS score FROM qu a JOIN eu b ON a.term = b.term AND b.seq < a.seq GROUP BY 1, 2, 3),
+top AS (SELECT s.key, s.seq, arg_max(struct_pack(score := s.score, chunk_id := e.chunk_id, passage := e.passage), struct_pack(a := s.score, b := -e.chunk_id)) AS m FROM sim s JOIN ent e ON e.key = s.ckey WHERE s.score > 0 GROUP BY 1, 2),
+best AS (SELECT q.doc_id, q.passage_no, q.passage, coalesce(t.m.score, 0.0) AS score, t.m.chunk_id AS chunk_id, t.m.passage AS matched_text
+  FROM qp q LEFT JOIN top t ON t.key = md5(q.passage) AND t.seq = q.doc_id)"""
+
+
+@check("ingest_compare_then_store", f"WITH RECURSIVE {ARRIVAL_SQL}, {corroborate_sql('found', 'best')}, {REPORT_SQL} SELECT {REPORT_COLS} FROM rep")
 def _(spark, sf):
+    """Documents in three arrivals; the SQL knows none of their borders."""
     base = scratch_dir(spark, "ingest")
     src = read_table(spark, sf, "documents").select("doc_id", "text", F.col("doc_id").alias("seq"))
-    src.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(src.schema).parquet(f"{base}/in")
+    edges = src.select(F.percentile_approx("seq", F.array(F.lit(0.2), F.lit(0.6)))).first()[0]
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = src if low is None else src.filter(F.col("seq") > low)
+        (part if high is None else part.filter(F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     I.ingest_compare_then_store(stream, f"{base}/corpus", f"{base}/reports", f"{base}/ck").awaitTermination()
     return spark.read.parquet(f"{base}/reports").select(*REPORT_COLS.split(", "))

@@ -12,6 +12,7 @@ from inkstone.session import scratch_dir
 from inkstone.sources.readers import read_corpus, read_table
 from inkstone.sources.writers import chunk_rows
 from inkstone.streaming import ingest as I
+from inkstone.streaming.retention import Retained
 
 from .kit import HISTORY_SQL, NOW, check, docs, history, passages_sql, q, r6, strip
 
@@ -178,12 +179,41 @@ def _(spark, sf):
         h.filter(F.col("id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").withColumnRenamed("id", "chunk_id")
     I.corpus_cap_stream(stream, f"{base}/out", f"{base}/ck", 500).awaitTermination()
-    return spark.read.parquet(f"{base}/out/version=2").select(F.col("chunk_id").alias("id"))
+    return Retained(spark, f"{base}/out", "chunk_id").newest(500).select(F.col("chunk_id").alias("id"))
 
 
-@check("dedupe_arrivals", f"SELECT DISTINCT substr(sha256({strip('text')}), 1, 12) AS tag FROM documents")
+KEPT_SQL = """ev AS (SELECT DISTINCT event_type || '/' || user_id AS tag, ts FROM events),
+kept AS (SELECT tag, min(ts) AS ts FROM ev GROUP BY 1 UNION ALL
+  SELECT tag, ts FROM (SELECT k.tag, (SELECT min(e.ts) FROM ev e WHERE e.tag = k.tag AND e.ts >= k.ts + INTERVAL 1 DAY) AS ts FROM kept k) WHERE ts IS NOT NULL),
+firsts AS (SELECT k.tag, k.ts, min(e.event_id) AS event_id FROM kept k JOIN events e ON e.ts = k.ts AND e.event_type || '/' || e.user_id = k.tag GROUP BY 1, 2)"""
+
+
+def arrivals(spark, sf):
+    e = read_table(spark, sf, "events")
+    return e.select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("tag"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+@check("dedupe_arrivals", f"WITH RECURSIVE {KEPT_SQL} SELECT tag, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id FROM firsts")
 def _(spark, sf):
-    from inkstone.functions.text import content_tag
+    return I.dedupe_arrivals(arrivals(spark, sf), horizon="1 day").select("tag", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_id")
+
 
-    d = docs(spark, sf).select(content_tag(F.col("text")).alias("tag"), F.lit(NOW).cast("timestamp").alias("ts"))
-    return I.dedupe_arrivals(d).select("tag")
+@check("dedupe_arrivals_stream", f"WITH RECURSIVE {KEPT_SQL} SELECT tag, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id FROM firsts WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def _(spark, sf):
+    """The same rows from a stream of three files, as far as the watermark has settled them."""
+    base, name = scratch_dir(spark, "repeats"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    src = arrivals(spark, sf)
+    edges = src.select(F.percentile_approx(F.unix_micros("ts"), F.array(F.lit(0.3), F.lit(0.6)))).first()[0]
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = src if low is None else src.filter(F.unix_micros("ts") > low)
+        (part if high is None else part.filter(F.unix_micros("ts") <= high)).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = I.dedupe_arrivals(stream, horizon="1 day").writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/ck")
+        query.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    out = spark.read.schema(src.schema).parquet(f"{base}/out")
+    return out.select("tag", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_id")
