@@ -99,6 +99,27 @@ def test_best_match_equals_brute_force(spark, rows, mode, floor):
         assert seen[k][1] == cid
 
 
+def test_few_pairs_are_formed_and_blocks_split_hot_terms(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumn("seq", F.col("doc_id"))
+    formed, blocks = [], []
+    opened, blocked = O.open_pairs, O.posting_blocks
+    monkeypatch.setattr(O, "open_pairs", lambda *a: formed.append(opened(*a)) or formed[-1])
+    monkeypatch.setattr(O, "posting_blocks", lambda *a: blocks.append(blocked(*a)) or blocks[-1])
+    monkeypatch.setattr(O, "BLOCK", 4)
+    monkeypatch.setattr(O, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(O, "BLOCK_CANDIDATES", 5)
+    monkeypatch.setattr(O, "SCORED_AT_ONCE", 11)
+    got = O.best_match_per_passage(P.query_passages(df), P.corpus_passages(df))
+    want = brute(rows, rows, 0.0, lambda t, d, ct, cd: True)
+    assert {(r.doc_id, r.passage_no): (pytest.approx(r.score, abs=2e-9), int(r.chunk_id)) for r in got.collect()} == want
+    sizes = blocks[0].select(F.max(F.size("entries")).alias("most"), F.max("salts").alias("salts")).first()
+    assert sizes["most"] <= 16 and sizes["salts"] > 2
+    queries, chunks = (len({p for _, t, _ in rows for p in windows(t, 60, s)}) for s in (30, 60))
+    # rounds of falling threshold: every query has its copy and is done after the first, without all pairs
+    n = [f.count() for f in formed]
+    assert len(n) == 2 and n[1] == 0 and n[0] < 0.6 * queries * chunks
+
+
 def test_report_invariants_and_no_self_match(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
     found = P.match_passages(df, df, exclude_own_tag=True)
