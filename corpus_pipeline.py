@@ -48,10 +48,19 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(docs: DataFrame) -> DataFrame:
-    """Documents in a language that the model tells; those without a letter go."""
+    """Documents in a language that the model tells; those without a letter go, and a null ``lang`` becomes the language told.
+
+    Where no row with a letter has a ``lang`` there is nothing to learn from: then every
+    document with a letter stays as it is. Where all rows have one language, all that
+    have a letter are of it.
+    """
+    model = train_language_model(docs, held_out=None)
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = ("_pipeline_lang", "_pipeline_score")
-    scored = predict_language(docs, train_language_model(docs, held_out=None), to=found)
-    return scored.where((F.col(found[0]) != "und") & (F.col(found[1]) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    scored = predict_language(docs, model, to=found)
+    kept = scored.where((F.col(found[0]) != "und") & (F.col(found[1]) >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*[F.coalesce("lang", F.col(found[0])).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
