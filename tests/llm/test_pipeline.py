@@ -77,3 +77,16 @@ def test_rows_go_only_for_a_similar_or_equal_text(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, rows[0][1]), (1, rows[1][1]), (0, rows[6][1]), (1, None), (3, None), (3, ""), (4, rows[9][1])], key=str)
+
+
+def test_language_stage_with_all_some_and_no_labels(spark):
+    texts = [("en" if i % 2 else "fr", " ".join(("the house of my brother" if i % 2 else "la maison de mon frère").split() * (3 + i % 4))) for i in range(60)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts)] + [(90, "12 34", "en"), (91, None, "en"), (92, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    stage = corpus_pipeline.identify_language
+    nulls = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(tuple, stage(nulls).collect())) == sorted(map(tuple, nulls.where("doc_id < 90").collect()))
+    partly = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    assert {r["doc_id"]: r["lang"] for r in stage(partly).collect()} == {i: lang for i, (lang, _) in enumerate(texts)}
+    one = docs.withColumn("lang", F.lit("en"))
+    assert stage(one).count() == 60
