@@ -22,10 +22,10 @@ CELLS_SQL = f"{TABLE_SQL}, cells AS (" + " UNION ALL ".join(
 ) + ")"
 NUM = lambda v: rf"TRY_CAST(CASE WHEN regexp_full_match(regexp_replace({v}, '[,$%]', '', 'g'), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN regexp_replace({v}, '[,$%]', '', 'g') END AS DOUBLE)"
 DATE = r"(regexp_matches(v, '^\d{4}-\d{2}-\d{2}$') OR regexp_matches(v, '^\d{1,2}/\d{1,2}/\d{4}$') OR regexp_matches(v, '^[A-Za-z]+ \d{4}$'))"
-ROLE_SQL = f"""{CELLS_SQL}, smp AS (SELECT * FROM cells WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY col ORDER BY row_no) <= 20),
-sa AS (SELECT col, any_value(pos) AS pos, bool_or({DATE}) AS d, count(*) AS n, count({NUM('v')}) AS nn FROM smp GROUP BY 1),
+ROLE_SQL = f"""{CELLS_SQL}, smp AS (SELECT * FROM cells WHERE v <> ''),
+sa AS (SELECT col, any_value(pos) AS pos, count(*) FILTER ({DATE}) AS d, count(*) AS n, count({NUM('v')}) AS nn FROM smp GROUP BY 1),
 dv AS (SELECT col, count(DISTINCT v) AS k FROM cells WHERE v <> '' GROUP BY 1),
-roles AS (SELECT sa.pos, sa.col, CASE WHEN d THEN 'date' WHEN nn >= n * 0.7 THEN 'numeric' WHEN k BETWEEN 2 AND 20 THEN 'categorical' ELSE 'other' END AS role FROM sa JOIN dv ON dv.col = sa.col)"""
+roles AS (SELECT sa.pos, sa.col, CASE WHEN d >= n * 0.7 THEN 'date' WHEN nn >= n * 0.7 THEN 'numeric' WHEN k BETWEEN 2 AND 20 THEN 'categorical' ELSE 'other' END AS role FROM sa JOIN dv ON dv.col = sa.col)"""
 
 
 def table(spark, sf):
@@ -93,12 +93,18 @@ def _(spark, sf):
     return share_of_total(s).select("chart", "name", r6("share").alias("share"))
 
 
-@check("table_insights", f"""WITH {ROLE_SQL}, st AS (SELECT col, min(v) AS v0, max(v) AS v1 FROM cells WHERE v <> '' GROUP BY 1)
- SELECT CAST(1 AS INT) AS insight_no, 'The dataset contains ' || format('{{:,}}', (SELECT count(*) FROM t)) || ' records across 6 columns: "order_date", "status", "priority", "total", "customer", "note".' AS insight
- UNION ALL SELECT 2, 'Date range (' || r.col || '): ' || st.v0 || ' → ' || st.v1 || '.' FROM roles r JOIN st ON st.col = r.col WHERE role = 'date'
- UNION ALL SELECT 7, 'Suitable for trend analysis, performance comparison, and decision-making based on ' || count(*) FILTER (role = 'numeric') || ' numeric and ' || count(*) FILTER (role = 'categorical') || ' categorical columns.' FROM roles""")
+@check("table_insights", f"""WITH {ROLE_SQL}, st AS (SELECT col, min(v) AS v0, max(v) AS v1, count(DISTINCT v) AS kinds, sum({NUM('v')}) AS total, count({NUM('v')}) AS n, min({NUM('v')}) AS lo, max({NUM('v')}) AS hi FROM cells WHERE v <> '' GROUP BY 1),
+ vc AS (SELECT col, v, count(*) AS n, min(row_no) AS f FROM cells WHERE v <> '' GROUP BY 1, 2),
+ tp AS (SELECT col, string_agg(v || ': ' || format('{{:,}}', n), ' | ' ORDER BY n DESC, f) AS top FROM (SELECT * FROM vc QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, f) <= 3) GROUP BY 1),
+ nm AS (SELECT col, string_agg('"' || v || '"', ', ' ORDER BY v) AS names FROM (SELECT * FROM vc QUALIFY row_number() OVER (PARTITION BY col ORDER BY v) <= 7) GROUP BY 1),
+ body AS (SELECT 'The dataset contains ' || format('{{:,}}', (SELECT count(*) FROM t)) || ' records across 6 columns: "order_date", "status", "priority", "total", "customer", "note".' AS insight, 0 AS o
+  UNION ALL SELECT 'Date range (' || r.col || '): ' || st.v0 || ' → ' || st.v1 || '.', 100 + r.pos FROM roles r JOIN st ON st.col = r.col WHERE role = 'date'
+  UNION ALL SELECT '"' || r.col || '": Total = ' || format('{{:,.2f}}', total) || ' | Avg = ' || format('{{:,.2f}}', total / n) || ' | Min = ' || format('{{:,.2f}}', lo) || ' | Max = ' || format('{{:,.2f}}', hi) || '.', 200 + r.pos FROM roles r JOIN st ON st.col = r.col WHERE role = 'numeric'
+  UNION ALL SELECT '"' || r.col || '" — ' || kinds || ' categories: ' || names || CASE WHEN kinds > 7 THEN ' … (' || kinds || ' total)' ELSE '' END || '. Top: ' || top || '.', 300 + r.pos FROM roles r JOIN st ON st.col = r.col JOIN tp ON tp.col = r.col JOIN nm ON nm.col = r.col WHERE role = 'categorical'
+  UNION ALL SELECT 'Suitable for trend analysis, performance comparison, and decision-making based on ' || count(*) FILTER (role = 'numeric') || ' numeric and ' || count(*) FILTER (role = 'categorical') || ' categorical columns.', 900 FROM roles)
+ SELECT CAST(row_number() OVER (ORDER BY o) AS INT) AS insight_no, insight FROM body""")
 def _(spark, sf):
-    return S.table_insights(P.unpivot_cells(table(spark, sf)), []).filter(F.col("insight_no").isin(1, 2, 7)).select("insight_no", "insight")
+    return S.table_insights(P.unpivot_cells(table(spark, sf)), [], limit=None).select("insight_no", "insight")
 
 
 @check("profile_table", f"""WITH {ROLE_SQL}, vc AS (SELECT col, v, count(*) AS n, min(row_no) AS f FROM cells WHERE v <> '' AND col IN ('status', 'priority') GROUP BY 1, 2),

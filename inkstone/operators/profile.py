@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import values as V
-
-SAMPLE = 20
+from ..session import materialize
 
 
 def unpivot_cells(df: DataFrame, row_no: str = "row_no") -> DataFrame:
@@ -33,8 +32,8 @@ def distinct_values(cells: DataFrame, row_no: str = "row_no") -> DataFrame:
     return cells.groupBy("pos", "column", "value").agg(F.count("*").alias("n"), F.min(row_no).alias("first_row"))
 
 
-def first_cells(cells: DataFrame, row_no: str = "row_no", k: int = SAMPLE) -> DataFrame:
-    """The first ``k`` non-blank cells of every column, by row."""
+def first_cells(cells: DataFrame, k: int, row_no: str = "row_no") -> DataFrame:
+    """The first ``k`` non-blank cells of every column, by row; the limit applies before the shuffle."""
     w = Window.partitionBy("pos", "column").orderBy(row_no)
     return cells.filter(F.col("value") != "").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
@@ -46,57 +45,73 @@ def _is_date(c: Column) -> Column:
     return hit
 
 
-def column_roles(df: DataFrame, row_no: str = "row_no") -> DataFrame:
-    """(pos, column, role): date, numeric, categorical or other.
-
-    One date among the first twenty values makes a column a date; seventy
-    percent numbers make it numeric; 2 to 20 distinct values categorical.
-    """
-    cells = unpivot_cells(df, row_no)
-    sample = first_cells(cells, row_no).groupBy("pos", "column").agg(
-        F.max(_is_date(F.col("value"))).alias("has_date"),
-        F.count("*").alias("sampled"), F.count(V.parse_number(F.col("value"))).alias("numbers"),
-    )
-    # Above twenty the exact number of distinct values does not matter.
-    kinds = distinct_values(cells, row_no).filter(F.col("value") != "").groupBy("pos", "column").agg(
-        F.count("*").alias("distinct_values")
+def value_kinds(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dates, sampled, numbers, distinct_values) from value counts (keys, value, n) without blanks."""
+    x = V.parse_number(F.col("value"))
+    return counts.groupBy(*keys).agg(
+        F.sum(F.when(_is_date(F.col("value")), F.col("n")).otherwise(0)).alias("dates"), F.sum("n").alias("sampled"),
+        F.sum(F.when(x.isNotNull(), F.col("n")).otherwise(0)).alias("numbers"), F.count("*").alias("distinct_values"),
     )
-    role = (
-        F.when(F.col("has_date"), "date").when(F.col("numbers") >= F.col("sampled") * 0.7, "numeric")
+
+
+def role_of(one_date: bool = False) -> Column:
+    """Role of a column from its ``value_kinds``: seventy percent dates (with ``one_date``
+    a single one) make it a date, seventy percent numbers make it numeric, 2 to 20
+    distinct values categorical."""
+    dated = F.col("dates") > 0 if one_date else F.col("dates") >= F.col("sampled") * 0.7
+    return (
+        F.when(dated, "date").when(F.col("numbers") >= F.col("sampled") * 0.7, "numeric")
         .when(F.col("distinct_values").between(2, 20), "categorical").otherwise("other")
     )
-    return sample.join(kinds, ["pos", "column"]).select("pos", "column", role.alias("role"))
+
+
+def column_roles(df: DataFrame, row_no: str = "row_no", sample: int | None = None) -> DataFrame:
+    """(pos, column, role): date, numeric, categorical or other, from all values.
+
+    ``sample`` looks for dates and numbers in the first so many non-blank cells of each
+    column only, where one date is enough; among all values strays would decide.
+    """
+    cells = unpivot_cells(df, row_no)
+    keys = ["pos", "column"]
+    kinds = value_kinds(distinct_values(cells, row_no).filter(F.col("value") != ""), keys)
+    if sample is not None:
+        seen = value_kinds(distinct_values(first_cells(cells, sample, row_no), row_no), keys)
+        kinds = seen.drop("distinct_values").join(kinds.select(*keys, "distinct_values"), keys)
+    return kinds.select(*keys, role_of(one_date=sample is not None).alias("role"))
+
+
+def best_values(counts: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each group, numbered by ``name``.
+
+    Every task passes on its own first ``k`` of a group only, so none gets more than
+    ``k`` from each of the others, however many values a group has.
+    """
+    return counts.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
 
 
 def column_profile(df: DataFrame, row_no: str = "row_no", max_columns: int | None = None) -> DataFrame:
     """dtype, missing percent, and min/max/avg or the five top values per column (or per the first ``max_columns``)."""
     keep = [c for c in df.columns if c != row_no][:max_columns]
-    cells = unpivot_cells(df.select(row_no, *keep), row_no)
-    sample = first_cells(cells, row_no).groupBy("pos", "column").agg(
-        F.count("*").alias("sampled"), F.count(V.parse_number(F.col("value"))).alias("numbers"),
-    )
-    # At most twenty sampled values are always at most twenty distinct ones.
-    dtype = F.when(F.col("numbers") >= F.col("sampled") * 0.7, "numeric").otherwise("categorical")
-    counts = distinct_values(cells, row_no)
-    x = V.parse_number(F.col("value"))
-    stats = counts.groupBy("pos", "column").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("value") == "", F.col("n")).otherwise(0)).alias("missing"),
+    keys = ["pos", "column"]
+    counts = materialize(distinct_values(unpivot_cells(df.select(row_no, *keep), row_no), row_no), "values")
+    x, filled = V.parse_number(F.col("value")), F.col("value") != ""
+    stats = counts.groupBy(*keys).agg(
+        F.sum("n").alias("rows"), F.sum(F.when(~filled, F.col("n")).otherwise(0)).alias("missing"),
         F.min(x).alias("lo"), F.max(x).alias("hi"),
-        (F.sum(x * F.col("n")) / F.sum(F.when(x.isNotNull(), F.col("n")))).alias("mean"),
+        F.sum(F.when(x.isNotNull(), F.col("n")).otherwise(0)).alias("numbers"), F.sum(x * F.col("n")).alias("total"),
     )
-    w = Window.partitionBy("pos", "column").orderBy(F.desc("n"), "first_row")
     top = (
-        counts.filter(F.col("value") != "").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 5)
-        .groupBy("pos", "column").agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("t"))
+        best_values(counts.filter(filled), keys, [F.desc("n"), F.col("first_row")], 5, "rn")
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("t"))
     )
-    joined = stats.join(sample, ["pos", "column"], "left").join(top, ["pos", "column"], "left")
-    kind = F.when(F.col("sampled").isNull(), "unknown").otherwise(dtype)
+    some = F.col("rows") - F.col("missing")
+    kind = F.when(some == 0, "unknown").when(F.col("numbers") >= some * 0.7, "numeric").otherwise("categorical")
     num = kind == "numeric"
-    return joined.select(
+    return stats.join(top, keys, "left").select(
         F.col("column"), kind.alias("dtype"),
         F.round(100.0 * F.col("missing") / F.col("rows"), 1).alias("missing_pct"),
         F.when(num, F.round("lo", 2)).alias("min"), F.when(num, F.round("hi", 2)).alias("max"),
-        F.when(num, F.round("mean", 2)).alias("avg"),
+        F.when(num, F.round(F.col("total") / F.nullif(F.col("numbers"), F.lit(0)), 2)).alias("avg"),
         F.when(kind == "categorical", F.array_join(F.transform("t", lambda v: v["value"]), " | ")).alias("top_values"),
     )
 
@@ -124,9 +139,8 @@ def numeric_insights(df: DataFrame, columns: list[str]) -> DataFrame:
 def category_insights(df: DataFrame, columns: list[str], row_no: str = "row_no", k: int = 3) -> DataFrame:
     """Number of distinct values and the top three counts per column."""
     counts = distinct_values(unpivot_cells(df.select(row_no, *columns), row_no), row_no).filter(F.col("value") != "")
-    w = Window.partitionBy("column").orderBy(F.desc("n"), "first_row")
     top = (
-        counts.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).groupBy("column")
+        best_values(counts, ["column"], [F.desc("n"), F.col("first_row")], k, "rn").groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "value", "n"))).alias("t"))
     )
     kinds = counts.groupBy("column").agg(F.count("*").alias("distinct_values"))
