@@ -16,7 +16,7 @@ from inkstone.sources.readers import read_table
 from inkstone.streaming import ingest as I
 
 from .kit import (
-    BENCH_SRC, CP_BENCH, QP_DOCS, REPORT_SQL, benchmark_docs, check, contain, corroborate_sql, docs, grams, lex,
+    BENCH_SRC, CP_BENCH, HISTORY_SQL, QP_DOCS, REPORT_SQL, benchmark_docs, check, contain, corroborate_sql, docs, grams, history, lex,
     overlap_sql, passages_sql, q, r6, sents, setjac, strip, vectors_sql, wc,
 )
 
@@ -44,9 +44,28 @@ def _(spark, sf):
     )
 
 
-@check("find_overlap", f"{BENCH_FULL}, {REPORT_SQL} SELECT {REPORT_COLS} FROM rep")
+FULL_COLS = REPORT_COLS + ", corpus_size, chunks_compared"
+
+
+@check("find_overlap", f"""{BENCH_FULL}, {REPORT_SQL} SELECT d.doc_id, coalesce(overall_similarity, 0) AS overall_similarity, coalesce(top_match, 0) AS top_match, coalesce(top_match_verified, FALSE) AS top_match_verified,
+ coalesce(matched_portion, 0) AS matched_portion, coalesce(possible_portion, 0) AS possible_portion, coalesce(passages, 0) AS passages, coalesce(note, {q(O.NOTE_EMPTY)}) AS note,
+ (SELECT count(*) FROM cp) AS corpus_size, coalesce(passages, 0) AS chunks_compared FROM documents d LEFT JOIN rep r ON r.doc_id = d.doc_id""")
+def _(spark, sf):
+    return P.find_overlap(docs(spark, sf), benchmark_docs(spark, sf).withColumn("tag", F.lit("b"))).select(*FULL_COLS.split(", "))
+
+
+@check("match_report", f"""{BENCH_FULL}, {HISTORY_SQL}, tm AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY verified DESC, round(score * 100, 1) DESC, passage_no) AS rank FROM found WHERE score >= 0.45)
+ SELECT doc_id, CAST(rank AS INT) AS rank, md5(passage) AS passage_md5, md5(matched_text) AS matched_md5, round(100 * score, 1) AS score, round(100 * word_overlap, 1) AS word_overlap, round(100 * ngram_overlap, 1) AS ngram_overlap, verified,
+ chunk_id // 2147483648 AS source_id, h.file_name AS source_name, strftime(h.created_at, '%Y-%m-%d %H:%M:%S') AS source_created_at, h.file_type AS source_kind FROM tm LEFT JOIN hist h ON h.id = chunk_id // 2147483648 WHERE rank <= 8""")
 def _(spark, sf):
-    return O.overlap_report(bench_matches(spark, sf)).select(*REPORT_COLS.split(", "))
+    """Matches of all documents among the benchmark passages, named by the history record of the same id."""
+    sources = history(spark, sf).select(
+        F.col("id").alias("source_id"), F.col("file_name").alias("source_name"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("source_created_at"),
+        F.col("file_type").alias("source_kind"), F.lit(None).cast("string").alias("source_url"),
+    )
+    m = P.match_report(bench_matches(spark, sf, 0.45), sources)
+    return m.select("doc_id", "rank", F.md5("passage").alias("passage_md5"), F.md5("matched_text").alias("matched_md5"), "score", "word_overlap", "ngram_overlap",
+                    "verified", "source_id", "source_name", "source_created_at", "source_kind")
 
 
 @check("overlap_report")

@@ -37,6 +37,14 @@ def _(spark, sf):
     return P.column_roles(table(spark, sf))
 
 
+@check("column_roles_sample", f"""WITH {CELLS_SQL}, smp AS (SELECT * FROM cells WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY col ORDER BY row_no) <= 20),
+ sa AS (SELECT col, any_value(pos) AS pos, bool_or({DATE}) AS d, count(*) AS n, count({NUM('v')}) AS nn FROM smp GROUP BY 1), dv AS (SELECT col, count(DISTINCT v) AS k FROM cells WHERE v <> '' GROUP BY 1)
+ SELECT CAST(pos AS INT) AS pos, sa.col AS "column", CASE WHEN d THEN 'date' WHEN nn >= n * 0.7 THEN 'numeric' WHEN k BETWEEN 2 AND 20 THEN 'categorical' ELSE 'other' END AS role FROM sa JOIN dv ON dv.col = sa.col""")
+def _(spark, sf):
+    """The same with dates and numbers looked for in the first 20 cells, where one date is enough."""
+    return P.column_roles(table(spark, sf), sample=20)
+
+
 @check("column_profile", f"""WITH {ROLE_SQL}, st AS (SELECT col, count(*) AS n, count(*) FILTER (v = '') AS m, min({NUM('v')}) AS lo, max({NUM('v')}) AS hi, avg({NUM('v')}) AS av FROM cells GROUP BY 1),
  vc AS (SELECT col, v, count(*) AS n, min(row_no) AS f FROM cells WHERE v <> '' GROUP BY 1, 2), tp AS (SELECT col, string_agg(v, ' | ' ORDER BY n DESC, f) AS top FROM (SELECT * FROM vc QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, f) <= 5) GROUP BY 1)
  SELECT st.col AS "column", CASE WHEN nn >= sa.n * 0.7 THEN 'numeric' ELSE 'categorical' END AS dtype, round(100.0 * m / st.n, 1) AS missing_pct,

@@ -106,6 +106,37 @@ def containment(query: Column, source: Column) -> Column:
     return F.when((F.size(query) == 0) | (F.size(source) == 0), 0.0).otherwise(inter / F.size(query))
 
 
+def marked_places(items: Column, opening: Column, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 256) -> Column:
+    """Places (from 0) that a fold over an array marks: ``step`` gives the next state and whether to mark.
+
+    Marks are gathered per block of the array, so that the cost of an item is the same
+    in a short array and in a very long one.
+    """
+
+    def inner(start: Column, part: Column, first: Column) -> Column:
+        def put(acc: Column, x: Column) -> Column:
+            state, mark = step(acc["state"], x)
+            found = F.when(mark, F.array_append(acc["found"], acc["at"])).otherwise(acc["found"])
+            return F.struct(state.alias("state"), (acc["at"] + 1).alias("at"), found.alias("found"))
+
+        none = F.array().cast("array<int>")
+        return F.aggregate(part, F.struct(start.alias("state"), first.alias("at"), none.alias("found")), put)
+
+    def outer(acc: Column, part: Column) -> Column:
+        return let(inner(acc["state"], part, acc["at"]), lambda r: F.struct(
+            r["state"].alias("state"), r["at"].alias("at"), F.array_append(acc["found"], r["found"]).alias("found")
+        ))
+
+    def over(a: Column) -> Column:
+        last = F.floor((F.size(a) - 1) / F.lit(block)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(a, i * block + 1, F.lit(block)))
+        none = F.array().cast("array<array<int>>")
+        found = F.aggregate(parts, F.struct(opening.alias("state"), F.lit(0).alias("at"), none.alias("found")), outer)["found"]
+        return F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(F.flatten(found))
+
+    return let(items, over)
+
+
 def window_bounds(lengths: Column, window: int, stride: int) -> Column:
     """``array<struct<s,e>>``: sentence ranges [s, e) of the passage windows.
 
@@ -113,20 +144,15 @@ def window_bounds(lengths: Column, window: int, stride: int) -> Column:
     stride. Since a sentence has at least one word, a window closes within
     ``window`` sentences, so each end only looks at a slice of that size.
     """
-    opening = F.struct(F.lit(0).alias("run"), F.lit(0).alias("pos"), F.array(F.lit(0)).alias("starts"))
-
-    def advance(acc: Column, n: Column) -> Column:
-        run, pos = acc["run"] + n, acc["pos"] + 1
-        full = run >= stride
-        return F.struct(
-            F.when(full, 0).otherwise(run).alias("run"),
-            pos.alias("pos"),
-            F.when(full, F.array_append(acc["starts"], pos)).otherwise(acc["starts"]).alias("starts"),
-        )
+
+    def advance(run: Column, n: Column) -> tuple[Column, Column]:
+        full = run + n >= stride
+        return F.when(full, 0).otherwise(run + n), full
 
     def ranges(lens: Column) -> Column:
         n = F.size(lens)
-        starts = F.filter(F.aggregate(lens, opening, advance)["starts"], lambda s: s < n)
+        after = F.transform(marked_places(lens, F.lit(0), advance), lambda i: i + 1)
+        starts = F.filter(F.concat(F.array(F.lit(0)), after), lambda s: s < n)
 
         def close(s: Column) -> Column:
             fold = F.aggregate(
@@ -163,26 +189,18 @@ def passages(c: Column, window: int = L.WINDOW_WORDS, stride: int = L.QUERY_STRI
     return let(sentences(c), cut)
 
 
-def pack(sizes: Column, breaks: Column, limit: int) -> Column:
-    """Chunk number (from 0) per unit: next-fit up to ``limit``.
+def pack_starts(sizes: Column, breaks: Column, limit: int) -> Column:
+    """The first unit of every chunk: next-fit up to ``limit``.
 
     ``breaks`` marks the units that must open a chunk (a gap before them).
     """
-    opening = F.struct(
-        F.lit(0).alias("buf"), F.lit(-1).alias("chunk"), F.array().cast("array<int>").alias("out")
-    )
 
-    def put(acc: Column, x: Column) -> Column:
-        new = (acc["chunk"] < 0) | x["b"] | ((acc["buf"] > 0) & (acc["buf"] + x["n"] > limit))
-        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            F.when(new, x["n"]).otherwise(acc["buf"] + x["n"]).alias("buf"),
-            chunk.alias("chunk"),
-            F.array_append(acc["out"], chunk).alias("out"),
-        )
+    def put(held: Column, x: Column) -> tuple[Column, Column]:
+        new = (held < 0) | x["b"] | ((held > 0) & (held + x["n"] > limit))
+        return F.when(new, x["n"]).otherwise(held + x["n"]), new
 
     pairs = F.zip_with(sizes, breaks, lambda n, b: F.struct(n.alias("n"), b.alias("b")))
-    return F.aggregate(pairs, opening, put)["out"]
+    return marked_places(pairs, F.lit(-1), put)
 
 
 def content_tag(c: Column) -> Column:

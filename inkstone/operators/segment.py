@@ -50,20 +50,16 @@ def pack_row_units(units: Column, by_chars: bool) -> Column:
         gaps = F.zip_with(u, before, lambda x, p: x["unit_index"] != p + 1)
 
         def gather(v: Column) -> Column:
-            rows = F.zip_with(
-                v["u"], v["no"],
-                lambda x, c: F.struct(c.alias("c"), x["unit_index"].alias("i"), x["text"].alias("t")),
-            )
-            return F.transform(
-                F.sequence(F.lit(0), F.array_max(v["no"])),
-                lambda c: F.struct(
-                    c.alias("chunk_no"),
-                    F.array_join(F.transform(F.filter(rows, lambda r: r["c"] == c), lambda r: r["t"]), "\n\n").alias("text"),
-                    F.transform(F.filter(rows, lambda r: r["c"] == c), lambda r: r["i"]).alias("unit_indices"),
+            ends = F.concat(F.slice(v["at"], F.lit(2), F.greatest(F.size(v["at"]) - 1, F.lit(0))), F.array(F.size(v["u"])))
+            return F.transform(F.arrays_zip(v["at"].alias("s"), ends.alias("e")), lambda r, c: T.let(
+                F.slice(v["u"], r["s"] + 1, r["e"] - r["s"]),
+                lambda own: F.struct(
+                    c.alias("chunk_no"), F.array_join(F.transform(own, lambda x: x["text"]), "\n\n").alias("text"),
+                    F.transform(own, lambda x: x["unit_index"]).alias("unit_indices"),
                 ),
-            )
+            ))
 
-        packed = T.let(F.struct(u.alias("u"), T.pack(sizes, gaps, limit).alias("no")), gather)
+        packed = T.let(F.struct(u.alias("u"), T.pack_starts(sizes, gaps, limit).alias("at")), gather)
         empty = F.array().cast("array<struct<chunk_no:int,text:string,unit_indices:array<int>>>")
         return F.when(F.size(u) == 0, empty).otherwise(packed)
 

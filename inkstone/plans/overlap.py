@@ -10,6 +10,7 @@ from ..operators import external as E
 from ..operators import overlap as O
 from ..operators import rewrite as W
 from ..operators import segment as G
+from ..operators.ordered import running_sums
 from ..session import materialize
 
 
@@ -47,15 +48,60 @@ def match_passages(
     return O.lexical_corroboration(best)
 
 
+def corpus_sizes(docs: DataFrame, corpus: DataFrame, exclude_own_tag: bool = False, earlier_only: bool = False) -> DataFrame:
+    """(doc_id, corpus_size): how many stored passages each document was compared with."""
+    total = corpus.count()
+    if earlier_only:
+        one = corpus.groupBy("seq").agg(F.count("*").alias("n"))
+        seqs = docs.select("seq").distinct().withColumn("n", F.lit(0).cast("long")).unionByName(one).groupBy("seq").agg(F.sum("n").alias("n"))
+        sizes = docs.select("doc_id", "seq").join(running_sums(seqs, [], "seq", {"n": "corpus_size"}), "seq", "left").select("doc_id", "corpus_size")
+    else:
+        sizes = docs.select("doc_id", F.lit(total).cast("long").alias("corpus_size"))
+    if exclude_own_tag:
+        own = corpus.groupBy("tag", *(["seq"] if earlier_only else [])).agg(F.count("*").alias("own"))
+        mine = docs.select("doc_id", F.col("tag").alias("_tag"), *([F.col("seq").alias("_seq")] if earlier_only else []))
+        met = mine.join(own, (F.col("tag") == F.col("_tag")) & ((F.col("seq") < F.col("_seq")) if earlier_only else F.lit(True)))
+        held = met.groupBy("doc_id").agg(F.sum("own").alias("own"))
+        sizes = sizes.join(held, "doc_id", "left").select("doc_id", (F.col("corpus_size") - F.coalesce("own", F.lit(0))).alias("corpus_size"))
+    return sizes.groupBy("doc_id").agg(F.max("corpus_size").alias("corpus_size"))
+
+
 def find_overlap(
     docs: DataFrame, stored: DataFrame, floor: float = 0.0, exclude_own_tag: bool = False,
     earlier_only: bool = False,
 ) -> DataFrame:
     """One report row per document, blank ones included; means and maxima over all passages are exact.
 
-    A search ``floor`` above 0 is cheaper and counts passages below it as 0.
+    Adds how many passages of the document were compared, with how many stored ones,
+    and says so where there were none. A search ``floor`` above 0 is cheaper and counts
+    passages below it as 0.
     """
-    return O.with_all_documents(O.overlap_report(match_passages(docs, stored, floor, exclude_own_tag, earlier_only)), docs)
+    base = docs
+    if "tag" not in base.columns:
+        base = base.withColumn("tag", F.col("doc_id").cast("string"))
+    if "seq" not in base.columns:
+        base = base.withColumn("seq", F.lit(0).cast("long"))
+    report = O.with_all_documents(O.overlap_report(match_passages(docs, stored, floor, exclude_own_tag, earlier_only)), docs)
+    sized = report.join(corpus_sizes(base, corpus_passages(stored), exclude_own_tag, earlier_only), "doc_id")
+    unmatched = (F.col("corpus_size") == 0) & (F.col("passages") > 0)
+    return sized.withColumn("chunks_compared", F.when(F.col("corpus_size") > 0, F.col("passages")).otherwise(0)).withColumn(
+        "note", F.when(unmatched, O.NOTE_NO_CORPUS).otherwise(F.col("note"))
+    )
+
+
+def match_report(found: DataFrame, sources: DataFrame, k: int = L.TOP_MATCHES) -> DataFrame:
+    """The first ``k`` matches of every document, each with where it comes from.
+
+    ``found``: verified best matches. ``sources``: source_id (the stored document),
+    source_name, source_created_at, source_kind, source_url. A match whose source is
+    not listed keeps its row.
+    """
+    percent = lambda c: F.round(100 * F.col(c), 1).alias(c)
+    top = O.top_matches(found, k).withColumn("source_id", O.chunk_document(F.col("chunk_id")))
+    return top.join(sources, "source_id", "left").select(
+        "doc_id", "rank", "passage", "matched_text", percent("score"), percent("word_overlap"), percent("ngram_overlap"), "verified",
+        "source_id", "source_name", "source_created_at", F.coalesce("source_kind", F.lit("submission")).alias("source_kind"), "source_url",
+    )
 
 
 def external_overlap(docs: DataFrame, external_docs: DataFrame, stored: DataFrame, floor: float = 0.0) -> DataFrame:
