@@ -98,7 +98,14 @@ def _(spark, sf):
     return P.score_code(code_files(spark, sf)).drop("signals", "explanation")
 
 
-@check("explanation_text")
+REASONS = ", ".join(
+    "CASE WHEN " + " AND ".join(f"{name} {op} {bound}" for name, op, bound in terms) + f" THEN {q(text)} END" for terms, text in C.EXPLANATION_REASONS
+)
+
+
+@check("explanation_text", f"""WITH {SIG_SQL}, r AS (SELECT *, list_filter([{REASONS}], lambda x0: x0 IS NOT NULL) AS rs FROM s3)
+ SELECT doc_id, 'This ' || language || ' code appears ' || CASE {' '.join(f"WHEN {rule} THEN {q(text)}" for rule, text in C.EXPLANATION_VERDICTS)} ELSE {q(C.EXPLANATION_OTHERWISE)} END || '. Key indicators: '
+  || CASE WHEN len(rs) = 0 THEN {q(C.EXPLANATION_NO_REASON)} ELSE array_to_string(rs[1:4], '; ') END || {q('. ' + C.EXPLANATION_CLOSING)} AS explanation FROM r""")
 def _(spark, sf):
     return P.score_code(code_files(spark, sf)).select("doc_id", "explanation")
 

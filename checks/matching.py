@@ -308,12 +308,23 @@ def _(spark, sf):
     return P.rewrite_by_rules(marked).select("doc_id", F.md5("rewritten").alias("rewritten_md5"), "changed")
 
 
-@check("clause_swap")
+CLAUSE = "CASE WHEN sent_no % 3 = 0 THEN 'When ' || t || ', it works.' WHEN sent_no % 3 = 1 THEN t || ', because it works' ELSE 'As well as that, ' || t END"
+UP = lambda x: f"CASE WHEN substr({x}, 1, 1) = 'ß' THEN 'SS' ELSE upper(substr({x}, 1, 1)) END || substr({x}, 2)"
+LOW = lambda x: f"lower(substr({x}, 1, 1)) || substr({x}, 2)"
+FRONT = lambda i: f"regexp_extract(t, {q(W.R.FRONT_CLAUSE)}, {i})"
+MID = lambda i: f"regexp_extract(t, {q(W.R.MID_CLAUSE)}, {i})"
+
+
+@check("clause_swap", f"""WITH s0 AS (SELECT doc_id, {sents('text')} AS ss FROM documents), s1 AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sent_no, translate(unnest(ss), '.!?', '') AS t FROM s0),
+ s2 AS (SELECT doc_id, sent_no, {strip(CLAUSE)} AS t FROM s1),
+ s3 AS (SELECT *, {FRONT(1)} AS f1, {strip(FRONT(2))} AS f2, {strip(FRONT(3))} AS f3, {FRONT(4)} AS f4, rtrim({MID(1)}, '. ') AS m1, {MID(2)} AS m2, {MID(3)} AS m4, rtrim({MID(3)}, '. ') AS m3 FROM s2)
+ SELECT doc_id, CAST(sent_no AS INT) AS sent_no, CASE WHEN f1 <> '' AND f2 <> '' AND f3 <> '' AND NOT (lower(f1) = 'as' AND starts_with(lower(f2), 'well'))
+  THEN {UP('f3')} || ', ' || lower(f1) || ' ' || {LOW('f2')} || CASE WHEN f4 = '' THEN '.' ELSE f4 END
+  WHEN m2 <> '' AND m1 <> '' AND m3 <> '' AND NOT (lower(m2) = 'as' AND starts_with(lower({strip('m4')}), 'well')) THEN {UP('m3')} || ', ' || m2 || ' ' || {LOW('m1')} || '.' ELSE t END AS swapped FROM s3""")
 def _(spark, sf):
-    s = G.explode_sentences(docs(spark, sf)).withColumn(
-        "sentence", F.concat(F.lit("When "), F.translate("sentence", ".!?", ""), F.lit(", it works."))
-    )
-    return s.select("doc_id", "sent_no", W.clause_swap(F.col("sentence")).alias("swapped"))
+    """Sentences with a clause in front, with one behind a connector, and with an idiom that stays."""
+    s = G.explode_sentences(docs(spark, sf)).withColumn("t", F.translate("sentence", ".!?", ""))
+    return s.select("doc_id", "sent_no", W.clause_swap(F.expr(CLAUSE)).alias("swapped"))
 
 
 # --- ingestion ----------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Windows and chunks inside a row against plain loops, and their cost in a very long row."""
 
 import random
+import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import lexicon as L
@@ -71,3 +73,34 @@ def test_sizes_of_the_compared_corpus(spark):
             assert got == {d: sum(n for (e, _, u, s2), n in zip(rows, stored.values(), strict=True) if (not own or u != tag) and (not early or s2 < s)) for d, _, tag, s in rows}
     rep = {r["doc_id"]: r for r in P.find_overlap(docs, docs.limit(0)).collect()}
     assert rep[1]["note"] == O.NOTE_NO_CORPUS and rep[3]["note"] == O.NOTE_EMPTY and rep[1]["corpus_size"] == 0 == rep[1]["chunks_compared"]
+
+
+def test_page_passages_are_judged_by_joins(spark, monkeypatch):
+    from inkstone.operators import external as E
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(160)]
+    make = lambda n: " ".join(" ".join(rng.choices(words, k=12)).capitalize() + "." for _ in range(n))
+    docs = [(i, make(12)) for i in range(5)] + [(9, "")]
+    pages = [(i, "wikipedia", f"t{k}", f"u{k}", make(10) + (" " + docs[i][1][:400] if k == 1 else "")) for i in range(5) for k in range(3)]
+    pages += [(0, "arxiv", "copy", "u9", pages[0][4]), (77, "arxiv", "x", "y", make(6)), (1, "arxiv", "x", "y", None)]
+    formed = []
+    real = E.share_pairs
+    monkeypatch.setattr(E, "share_pairs", lambda *a: formed.append((a[3], real(*a))) or formed[-1][1])
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    x = spark.createDataFrame(pages, "doc_id long, kind string, title string, url string, text string")
+    got = {(r["doc_id"], r["title"], r["window_no"]): (r["word_share"], r["gram_share"]) for r in E.external_prefilter(d, x).collect()}
+    tok = lambda s: re.findall(r"[a-z0-9']+", s.lower())
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    want, pairs = {}, set()
+    for doc, _, title, _, text in pages:
+        own = [tok(p) for p in windows(dict(docs).get(doc, ""), 60, 30)]
+        for k, p in enumerate(windows(text or "", 60, 60)):
+            t = tok(p)
+            pairs |= {(doc, p, i) for i in range(len(own))}
+            word = max((len(set(t) & set(q)) / len(set(t) | set(q)) for q in own), default=0.0)
+            gram = max((len(grams(t) & grams(q)) / len(grams(q)) for q in own if grams(q)), default=0.0)
+            if word >= L.PREFILTER_WORD or gram >= L.PREFILTER_NGRAM:
+                want[doc, title, k] = (word, gram)
+    assert got == {k: (pytest.approx(a), pytest.approx(b)) for k, (a, b) in want.items()} and len(want) > 20
+    assert [f for f, _ in formed] == [0.5, L.PREFILTER_WORD, 0.5, L.PREFILTER_NGRAM, 0.0, 0.0] and formed[0][1].count() < len(pairs)
