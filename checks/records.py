@@ -111,6 +111,17 @@ def _(spark, sf):
     return h.select("id", V.relative_time(F.col("t"), F.lit(NOW).cast("timestamp")).alias("shown"))
 
 
+ISO = "CASE id % 6 WHEN 0 THEN substr(t, 1, 10) WHEN 1 THEN replace(t, ' ', 'T') || '.25' WHEN 2 THEN replace(t, ' ', 'T') || 'Z' WHEN 3 THEN t || '+05:30' WHEN 4 THEN t ELSE 'on ' || t END"
+
+
+@check("parse_time", f"""WITH {HISTORY_SQL}, s AS (SELECT id, {TS} AS t FROM hist)
+ SELECT id, CASE id % 6 WHEN 0 THEN epoch_us(CAST(substr(t, 1, 10) AS TIMESTAMP)) WHEN 1 THEN epoch_us(CAST(t AS TIMESTAMP)) + 250000 WHEN 3 THEN epoch_us(CAST(t AS TIMESTAMP)) - 19800000000 WHEN 5 THEN -1 ELSE epoch_us(CAST(t AS TIMESTAMP)) END AS micros FROM s""")
+def _(spark, sf):
+    """Times of the history as ISO texts of five forms, and one that is none."""
+    s = history(spark, sf).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("t"))
+    return s.select("id", F.coalesce(F.unix_micros(V.parse_time(F.expr(ISO))), F.lit(-1)).alias("micros"))
+
+
 @check("structure_label", f"WITH {HISTORY_SQL}, n AS (SELECT id, file_name || CASE id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pptx' WHEN 2 THEN '.ppt' ELSE '.txt' END AS f FROM hist) SELECT id, CASE WHEN ends_with(lower(f), '.pdf') THEN 'pdf_pages' WHEN ends_with(lower(f), '.pptx') OR ends_with(lower(f), '.ppt') THEN 'pptx_slides' ELSE 'flat' END AS structure FROM n")
 def _(spark, sf):
     f = F.concat("file_name", F.expr("CASE id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pptx' WHEN 2 THEN '.ppt' ELSE '.txt' END"))

@@ -208,3 +208,13 @@ def relative_time(ts: Column, now: Column) -> Column:
         .when(s < 604800, F.concat(F.floor(s / 86400).cast("string"), F.lit("d ago")))
         .otherwise(F.date_format(ts, "MMM d, yyyy"))
     )
+
+
+def parse_time(c: Column) -> Column:
+    """Timestamp of an ISO text (date, or date and time with T or a blank, fraction, Z or offset; without one: UTC); null if it is none."""
+    text = F.btrim(c)
+    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?([Zz]|[+-]\d{2}:?\d{2})?)?$")
+    # a colon in the offset, and UTC where none is named
+    offset = F.regexp_replace(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"[zZ]$", "+00:00")
+    named = F.when(offset.rlike(r"[T ].*[+-]\d{2}:\d{2}$"), offset).when(F.length(offset) == 10, F.concat(offset, F.lit(" 00:00:00+00:00"))).otherwise(F.concat(offset, F.lit("+00:00")))
+    return F.when(iso, F.try_to_timestamp(F.regexp_replace(named, "T", " ")))
