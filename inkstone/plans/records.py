@@ -45,7 +45,8 @@ def result_struct(text: Column) -> Column:
 def report_rows(history: DataFrame, result: str = "result") -> DataFrame:
     """(id, section, row_no, label, value): one row per line of a report."""
     r = F.col(result)
-    pct = lambda c: F.concat(F.format_number(F.coalesce(c, F.lit(0.0)), 1), F.lit("%"))
+    # a pattern without groups: a plain number of digits would put commas into thousands
+    pct = lambda c: F.concat(F.call_function("format_number", F.coalesce(c, F.lit(0.0)), F.lit("0.0")), F.lit("%"))
     dash = lambda c: F.coalesce(c.cast("string"), F.lit("—"))
 
     def line(section: str, no: int, label, value, when=None) -> Column:
