@@ -54,6 +54,14 @@ def value_kinds(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def weighted_total(x: Column, n: Column) -> Column:
+    """Sum of ``x`` times ``n``: in decimals, so that it is the same in any order of the rows,
+    where every value has at most six decimals and 14 digits before them; else in doubles."""
+    exact = x.try_cast("decimal(20,6)")
+    whole = F.bool_and(x.isNull() | F.coalesce(exact.cast("double") == x, F.lit(False)))
+    return F.when(whole, F.sum(exact * n.cast("decimal(17,0)")).cast("double")).otherwise(F.sum(x * n))
+
+
 def role_of(one_date: bool = False) -> Column:
     """Role of a column from its ``value_kinds``: seventy percent dates (with ``one_date``
     a single one) make it a date, seventy percent numbers make it numeric, 2 to 20
