@@ -54,26 +54,31 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+#: Texts whose counts leave a task at once.
+COUNTED_AT_ONCE = 20
+
+
 def _gram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        found = []
-        for text in frame["text"]:
-            counts: dict[int, int] = {}
-            for _, parts in pieces([text]):
-                _, codes, distinct = split_words(parts)
-                if len(codes):
-                    bucket, owner = hashed_grams(distinct, LOW, HIGH, BITS)
-                    own = np.bincount(bucket, weights=np.bincount(codes, minlength=len(distinct))[owner])
-                    for b in np.flatnonzero(own):
-                        counts[int(b)] = counts.get(int(b), 0) + int(own[b])
-            found.append(counts)
-        yield pd.DataFrame(
-            {
-                "lang": frame["lang"], "place": frame["place"],
-                "buckets": [np.fromiter(c, dtype="<i4", count=len(c)).tobytes() for c in found],
-                "counts": [np.fromiter(c.values(), dtype="<i4", count=len(c)).tobytes() for c in found],
-            }
-        )
+        for at in range(0, len(frame), COUNTED_AT_ONCE):
+            some = frame.iloc[at : at + COUNTED_AT_ONCE]
+            found = [_text_counts(text) for text in some["text"]]
+            release_memory()
+            yield pd.DataFrame(
+                {"lang": some["lang"], "place": some["place"], "buckets": [b for b, _ in found], "counts": [n for _, n in found]}
+            )
+
+
+def _text_counts(text: str) -> tuple[bytes, bytes]:
+    """Buckets of a text's n-grams and how often each occurs, packed in the order in which the model reads them."""
+    total = np.zeros(1 << BITS)
+    for _, parts in pieces([text]):
+        _, codes, distinct = split_words(parts)
+        if len(codes):
+            bucket, owner = hashed_grams(distinct, LOW, HIGH, BITS)
+            total += np.bincount(bucket, weights=np.bincount(codes, minlength=len(distinct))[owner], minlength=1 << BITS)
+    used = np.flatnonzero(total)
+    return used.astype("<i4").tobytes(), total[used].astype("<i4").tobytes()
 
 
 def train_language_model(
