@@ -9,6 +9,8 @@ from ..session import materialize
 
 SLACK = 1e-6
 DIGITS = 9
+#: Scores of a block that exist at once; rows (query, block) that a task hands on at once.
+SCORES_AT_ONCE, TARGETS_AT_ONCE = 1_000_000, 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,43 +41,71 @@ def _to_cells(df: DataFrame, pivots) -> DataFrame:
     )
 
 
-def _scan(targets: DataFrame, packed: DataFrame, k: int, batch_rows: int, n_queries: int, skip_self: bool) -> DataFrame:
+def _best_of_block(q_ids, q, c_ids, c, k: int, skip_self: bool):
+    """(query row, candidate row, score) of the best ``k`` of each query; ``c_ids`` ascend, so ties go to the smaller id."""
+    import numpy as np
+
+    s = np.round(q @ c.T, DIGITS)
+    if skip_self:
+        s[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    if k < s.shape[1]:
+        kth = np.partition(s, -k, axis=1)[:, -k][:, None]
+        above, tie = s > kth, s == kth
+        keep = above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - above.sum(axis=1)[:, None]))
+    else:
+        keep = np.ones(s.shape, bool)
+    row, col = np.nonzero(keep & np.isfinite(s))
+    return row, col, s[row, col]
+
+
+def _scan(targets: DataFrame, members: DataFrame, k: int, batch_rows: int, n_queries: int, n_blocks: int, skip_self: bool) -> DataFrame:
     """Best ``k`` of each (query, block) in ``targets``: vec_id, embedding, cell, salt.
 
-    Queries of one block go in bounded batches; a task holds one batch and one
-    block and multiplies them, so no table of pairs exists.
+    ``members``: the same columns of the corpus. Rows come sorted by block, candidates
+    first: a task holds one block and multiplies the queries with it some at a time, so
+    neither a table of pairs nor a row of many vectors exists. Queries of one block are
+    dealt to parts where there are many.
     """
-    n_batches = max(1, -(-n_queries // batch_rows))
-    batches = targets.groupBy("cell", "salt", F.pmod(F.xxhash64("vec_id"), F.lit(n_batches)).alias("qb")).agg(
-        F.collect_list(F.struct("vec_id", "embedding")).alias("qs")
-    )
-    work = batches.join(packed, ["cell", "salt"]).select(
-        F.transform("qs", lambda q: q["vec_id"]).alias("qids"),
-        F.flatten(F.transform("qs", lambda q: q["embedding"])).alias("qvals"),
-        F.transform("vs", lambda v: v["vec_id"]).alias("cids"),
-        F.flatten(F.transform("vs", lambda v: v["embedding"])).alias("cvals"),
-    )
-
-    def nearest(parts):
+    cores = targets.sparkSession.sparkContext.defaultParallelism
+    n_parts = max(1, -(-n_queries // (16 * batch_rows)), -(-2 * cores // max(1, n_blocks)))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int").alias("part")
+    q = targets.select("cell", "salt", part, F.lit(1).alias("kind"), "vec_id", "embedding")
+    c = members.select("cell", "salt", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    place = ["cell", "salt", "part"]
+    dealt = q.unionByName(c).repartition(max(cores, min(n_blocks * n_parts, 16 * cores)), *place).sortWithinPartitions(*place, "kind")
+
+    def nearest(batches):
         import numpy as np
-        import pandas as pd
-
-        for part in parts:
-            for r in part.itertuples():
-                qi, ci = np.asarray(r.qids), np.asarray(r.cids)
-                qm = np.asarray(r.qvals, dtype=np.float64).reshape(len(qi), -1)
-                cm = np.asarray(r.cvals, dtype=np.float64).reshape(len(ci), -1)
-                s = np.round(qm @ cm.T, DIGITS)
-                if skip_self:
-                    s[qi[:, None] == ci[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
-                out = pd.DataFrame({
-                    "vec_id": np.repeat(qi, order.shape[1]), "match_id": ci[order].ravel(),
-                    "score": np.take_along_axis(s, order, axis=1).ravel(),
-                })
-                yield out[np.isfinite(out["score"])]
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    return work.mapInPandas(nearest, "vec_id long, match_id long, score double")
+        at, held, block = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            where = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            kind, ids = b.column(3).to_numpy(), b.column(4).to_numpy()
+            vectors = pc.list_flatten(b.column(5)).to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1) | (kind[1:] != kind[:-1])) + 1).tolist(), len(ids)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if at != tuple(where[x]):
+                    at, held, block = tuple(where[x]), [], None
+                if kind[x] == 0:
+                    held.append((ids[x:y], vectors[x:y].astype(np.float64)))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    own, m = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    order = np.argsort(own, kind="stable")
+                    block = own[order], m[order]
+                step = max(1, SCORES_AT_ONCE // len(block[0]))
+                for i in range(x, y, step):
+                    j = min(i + step, y)
+                    row, col, score = _best_of_block(ids[i:j], vectors[i:j].astype(np.float64), *block, k, skip_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(block[0][col]), pa.array(score)], names=["vec_id", "match_id", "score"])
+
+    return dealt.mapInArrow(nearest, "vec_id long, match_id long, score double")
 
 
 def vector_cosine_topk(
@@ -104,16 +134,12 @@ def vector_cosine_topk(
     for f in facts:  # at most `cells` rows
         radius[f.cell], parts[f.cell] = f.radius, max(1, -(-f.n // block_rows))
     n_parts = F.element_at(F.array(*[F.lit(int(max(p, 1))) for p in parts]), F.col("cell") + 1)
-    packed = materialize(
-        members.groupBy("cell", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("salt")).agg(
-            F.collect_list(F.struct("vec_id", "embedding")).alias("vs")
-        ),
-        "blocks",
-    )
+    members = members.select("vec_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("salt"))
+    n_blocks = int(parts.sum())
     n_queries = queries.count()
 
     own = _to_cells(queries, pivots).select("vec_id", "embedding", "cell", F.lit(0).alias("salt"))
-    first = _scan(own, packed, k, block_rows, n_queries, exclude_same_id)
+    first = _scan(own, members.filter("salt = 0"), k, block_rows, n_queries, len(pivots), exclude_same_id)
     have = first.groupBy("vec_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select(
         "vec_id", F.when(F.col("n") >= k, F.col("kth")).otherwise(-2.0).alias("have")
     )
@@ -121,9 +147,8 @@ def vector_cosine_topk(
     def promising(batches):
         import pandas as pd
 
-        for b in batches:
-            if not len(b):
-                continue
+        step = max(1, TARGETS_AT_ONCE // max(1, n_blocks))
+        for b in (whole.iloc[i : i + step] for whole in batches for i in range(0, len(whole), step)):
             a = _angles(b["embedding"], pivots)
             bound = np.where(radius[None, :] < 0, -3.0, np.cos(np.maximum(a - radius[None, :], 0.0)))
             row, cell = np.nonzero(bound >= b["have"].to_numpy()[:, None] - SLACK)
@@ -140,7 +165,7 @@ def vector_cosine_topk(
         .withColumn("have", F.coalesce("have", F.lit(-2.0)))
         .mapInPandas(promising, "vec_id long, embedding array<float>, cell int, salt int")
     )
-    near = _scan(targets, packed, k, block_rows, n_queries, exclude_same_id)
+    near = _scan(targets, members, k, block_rows, n_queries, n_blocks, exclude_same_id)
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "match_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
