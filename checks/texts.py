@@ -364,9 +364,10 @@ FOLD = lambda x: rf"lower(regexp_replace({x}, '\s+', ' ', 'g'))"
 @check("grounded_quotes", f"""WITH s AS (SELECT doc_id, text, unnest({sents('text')}) AS x FROM documents), k AS (SELECT doc_id, text, lower(x) || CASE WHEN len(x) % 4 = 0 THEN ' zq' ELSE '' END AS quote FROM s)
  SELECT doc_id, quote, trim({FOLD('quote')}) <> '' AND contains({FOLD('text')}, trim({FOLD('quote')})) AS grounded FROM k""")
 def _(spark, sf):
-    s = docs(spark, sf).select("doc_id", "text", F.explode(T.sentences(TXT())).alias("x"))
-    k = s.withColumn("quote", F.concat(F.lower("x"), F.when(F.length("x") % 4 == 0, " zq").otherwise("")))
-    return k.select("doc_id", "quote", V.quote_grounded(TXT(), F.col("quote")).alias("grounded"))
+    quote = lambda x: F.concat(F.lower(x), F.when(F.length(x) % 4 == 0, " zq").otherwise(""))
+    k = docs(spark, sf).select("doc_id", "text", F.transform(T.sentences(TXT()), quote).alias("quotes"))
+    both = k.select("doc_id", F.arrays_zip("quotes", V.quotes_grounded(TXT(), F.col("quotes")).alias("grounded")).alias("x"))
+    return both.select("doc_id", F.inline("x").alias("quote", "grounded"))
 
 
 @check("grounded_numbers", r"""WITH k AS (SELECT o_orderkey AS id, 'total ' || CAST(o_totalprice AS STRING) || ', customer ' || CAST(o_custkey AS STRING) AS ctx,

@@ -88,10 +88,10 @@ def chart_points(items: Column, kind: Column) -> Column:
 
 def doc_type(c: Column) -> Column:
     """Type with most of its keywords contained, at least two; first listed wins."""
-    low = F.lower(c)
-    hits = F.array(*[
+    # the lower-cased text is bound: as a shared column it would be made again for each keyword
+    hits = let(F.lower(c), lambda low: F.array(*[
         sum((low.contains(k).cast("int") for k in kws), F.lit(0)) for kws in L.DOC_TYPE_KEYWORDS.values()
-    ])
+    ]))
     names = F.array(*[F.lit(n) for n in L.DOC_TYPE_KEYWORDS])
     return let(
         hits,
@@ -149,6 +149,15 @@ def quote_grounded(text: Column, quote: Column) -> Column:
     return (q != "") & fold_spaces(text).contains(q)
 
 
+def quotes_grounded(text: Column, quotes: Column) -> Column:
+    """``array<boolean>``: which of many quotes are in a text, which is folded once for all of them."""
+
+    def found(folded: Column) -> Column:
+        return F.transform(quotes, lambda x: let(strip(fold_spaces(x)), lambda q: (q != "") & folded.contains(q)))
+
+    return let(fold_spaces(text), found)
+
+
 def numbers_grounded(value: Column, context: Column) -> Column:
     flat = F.lower(F.regexp_replace(context, r"[,\s]", ""))
     digits = F.regexp_extract_all(value, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0))
