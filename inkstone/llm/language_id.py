@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.grams import hashed_grams, pieces, split_words, word_sums
-from inkstone.llm.shared import bounded_sample, release_memory, table
+from inkstone.llm.shared import bounded_sample, drop_kept, release_memory, table
 
 LOW, HIGH, BITS = 1, 4, 18
 SCALE = 50.0
@@ -59,6 +59,7 @@ COUNTED_AT_ONCE = 20
 
 
 def _gram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    drop_kept()
     for frame in frames:
         for at in range(0, len(frame), COUNTED_AT_ONCE):
             some = frame.iloc[at : at + COUNTED_AT_ONCE]
@@ -134,6 +135,8 @@ def train_language_model(
     truth = np.array([y for y, _, _ in held])
     grid = np.geomspace(0.1, 10, 81)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    del got, data, fit, held, z, n
+    release_memory()
     return LanguageModel(langs, (idf[:, None] * w).T.astype(np.float32), bias, float(grid[int(np.argmin(loss))]))
 
 
@@ -150,15 +153,17 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_kept()
         for batch in batches:
             texts = [x if isinstance(x, str) and model.langs and LETTER.search(x) else None for x in batch]
             if not model.langs:
                 yield pd.DataFrame({"lang_pred": ["und"] * len(texts), "lang_score": [0.0] * len(texts)})
                 continue
             p = model.probabilities(texts)
-            release_memory()
             best = p.argmax(axis=1)
             known = np.array([x is not None for x in texts], dtype=bool)
+            batch = texts = None
+            release_memory()
             yield pd.DataFrame(
                 {
                     "lang_pred": np.where(known, np.asarray(model.langs, dtype=object)[best], "und"),

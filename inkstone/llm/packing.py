@@ -100,6 +100,8 @@ def token_pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1
                     + [pa.array(out[n], type=t) for n, t in zip(list(out)[1:], types, strict=True)],
                     names=list(out),
                 )
+        batch = some = out = None
+        release_memory()  # an idle worker keeps the cache alone
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, schema)
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,8 +86,16 @@ def kept_in_process(key: tuple, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def drop_kept() -> None:
+    """Forget what other tasks have kept in this reused worker (``kept_in_process``), and give its memory back."""
+    if sys.modules.pop("_inkstone_kept", None) is not None:
+        gc.collect()
+        release_memory()
+
+
 def release_memory() -> None:
-    """Give memory that a batch has freed back to the system; reused workers would keep it. No-op without glibc."""
+    """Give memory that a batch has freed back to the system, Arrow's too; reused workers would keep it. Without glibc only Arrow's."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
