@@ -5,13 +5,13 @@ order of time. In batch the keys are range-partitioned together with their times
 that a key with very many rows spreads over many tasks. A task's piece of a key is
 summed up by how it maps the last kept time at its start to the one at its end (a
 step function with few steps), these maps are chained per key, and all pieces are
-then folded side by side. In a stream each key holds its last kept time and the rows
-that the watermark has not passed; a timer settles them in order of time.
+then folded side by side. In a stream the state of a bucket of keys holds their last kept
+times and the rows that the watermark has not passed; a timer settles them in order of time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -108,54 +108,83 @@ def _marked(key, p: pd.DataFrame, e: pd.DataFrame, width: int) -> pd.DataFrame:
 
 
 class FirstOfHorizon(StatefulProcessor):
-    """Keeps the last kept time of a key and, by time, its rows that the watermark has not passed."""
+    """Keeps, for a bucket of keys, their last kept times and the rows that the watermark has not passed.
 
-    def __init__(self, ts: str, columns: list[str], schema: StructType, width: int) -> None:
-        self.ts, self.columns, self.schema, self.width = ts, columns, schema, width
+    State is read and written once for a bucket and batch, and a bucket has one timer
+    for the first of its rows, so that the cost of a row does not grow with those that wait.
+    """
+
+    def __init__(self, tag: str, columns: list[str], schema: StructType, width: int) -> None:
+        self.tag, self.t, self.schema, self.width = columns.index(tag), columns.index(TIME), schema, width
+        self.columns, self.settled = columns, {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("t", LongType())]))
-        self.waiting = handle.getMapState("waiting", StructType([StructField("t", LongType())]), self.schema)
-
-    def _micros(self, value) -> int:  # noqa: ANN001
-        return int(pd.Timestamp(value).value // 1000)
+        self.last = handle.getListState("last", StructType([self.schema.fields[self.tag], StructField("t", LongType())]))
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def _key(self, row: tuple) -> tuple:
+        return row[self.tag], row[self.t]
+
+    def _least(self, rows: Iterable[tuple]) -> dict[tuple, tuple]:
+        """One row for each key and time: the least by its columns, nulls first."""
+        held: dict[tuple, tuple] = {}
+        order = lambda row: [(x is not None, x) for x in row]
+        for row in rows:
+            other = held.setdefault(self._key(row), row)
+            if other is not row and order(row) < order(other):
+                held[self._key(row)] = row
+        return held
+
+    def _rows(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        # by place: names that begin with an underscore come changed
+        for row in frame.iloc[:, : len(self.columns)].itertuples(index=False, name=None):
+            yield tuple(None if x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        for frame in rows:
-            for row in frame[self.columns].itertuples(index=False, name=None):
-                t = self._micros(row[self.columns.index(self.ts)])
-                held = self.waiting.getValue((t,)) if self.waiting.containsKey((t,)) else None
-                others = [i for i, c in enumerate(self.columns) if c != self.ts]
-                if held is None or [row[i] for i in others] < [held[i] for i in others]:
-                    self.waiting.updateValue((t,), tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row))
-                self.handle.registerTimer(-(-t // 1000))
+        held = self._least(row for frame in rows for row in self._rows(frame))
+        if held:
+            self.waiting.appendList(list(held.values()))
+            self.handle.registerTimer(_millis(min(t for _, t in held)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
-        last = self.last.get()[0] if self.last.exists() else None
+        passed = timerValues.getCurrentWatermarkInMs()
+        if self.settled.get(key) == passed:  # an earlier timer of this batch has settled all
+            return
+        self.settled[key] = passed
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due = self._least(row for row in held if _millis(row[self.t]) < passed)
+        rest = [row for row in held if _millis(row[self.t]) >= passed]
+        last = dict(self.last.get()) if self.last.exists() else {}
         out = []
-        for t in due:
-            if last is None or t >= last + self.width:
-                out.append(tuple(self.waiting.getValue((t,))))
-                last = t
-            self.waiting.removeKey((t,))
+        for tag, t in sorted(due, key=lambda k: k[1]):
+            if tag not in last or t >= last[tag] + self.width:
+                out.append(due[tag, t])
+                last[tag] = t
+        # a key is forgotten once no repeat of its last kept row can come any more
+        last = {tag: t for tag, t in last.items() if _millis(t + self.width) >= passed}
         if due:
-            self.last.update((last,))
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        self.last.put(list(last.items())) if last else self.last.clear()
+        times = [row[self.t] for row in rest] + [t + self.width for t in last.values()]
+        if times:
+            self.handle.registerTimer(_millis(min(times)))
         if out:
-            yield pd.DataFrame(out, columns=self.columns)
-        # a key is forgotten once no repeat of its last kept row can come any more
-        if last is not None and not due and last + self.width <= now and not any(True for _ in self.waiting.keys()):
-            self.last.clear()
-        elif due and last is not None:
-            self.handle.registerTimer(-(-(last + self.width) // 1000))
+            yield pd.DataFrame(out, columns=self.columns).drop(columns=TIME)
 
     def close(self) -> None:
         return
 
 
+#: Column with the time of a row in microseconds; buckets of keys that share their state.
+TIME, BUCKETS = "_t", 1024
+
+
+def _millis(t: int) -> int:
+    return -(-t // 1000)
+
+
 def first_of_horizon_stream(df: DataFrame, ts: str, tag: str, horizon: str, late: str | None = None) -> DataFrame:
     """The kept rows of a stream, once the watermark (``late`` behind, a horizon by default) has passed them.
 
@@ -163,7 +192,8 @@ def first_of_horizon_stream(df: DataFrame, ts: str, tag: str, horizon: str, late
     """
     if dict(df.dtypes)[ts] != "timestamp":
         raise ValueError(f"{ts} must be a timestamp")
-    return (
-        df.filter(F.col(tag).isNotNull()).withWatermark(ts, late or horizon).groupBy(tag)
-        .transformWithStateInPandas(FirstOfHorizon(ts, df.columns, df.schema, micros(horizon)), df.schema, "Append", "EventTime")
+    timed = df.filter(F.col(tag).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late or horizon).withColumn(TIME, F.unix_micros(ts))
+    placed = timed.withColumn("_bucket", F.pmod(F.xxhash64(tag), F.lit(BUCKETS)))
+    return placed.groupBy("_bucket").transformWithStateInPandas(
+        FirstOfHorizon(tag, timed.columns, timed.schema, micros(horizon)), df.schema, "Append", "EventTime"
     )
