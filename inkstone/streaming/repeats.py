@@ -5,7 +5,8 @@ order of time. In batch the keys are range-partitioned together with their times
 that a key with very many rows spreads over many tasks. A task's piece of a key is
 summed up by how it maps the last kept time at its start to the one at its end (a
 step function with few steps), these maps are chained per key, and all pieces are
-then folded side by side. In a stream the state of a bucket of keys holds their last kept
+then folded side by side. Keys that lie in one task as a whole, all but its first and
+last, are folded there at once. In a stream the state of a bucket of keys holds their last kept
 times and the rows that the watermark has not passed; a timer settles them in order of time.
 """
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..session import materialize
 
@@ -73,21 +74,67 @@ def first_of_horizon(df: DataFrame, ts: str, tag: str, horizon: str) -> DataFram
     others = [c for c in columns if c not in (ts, tag)]
     one = df.filter(F.col(ts).isNotNull() & F.col(tag).isNotNull()).groupBy(tag, ts).agg(F.min(F.struct(*others) if others else F.lit(1)).alias("_o"))
     kind = df.schema[tag].dataType.simpleString()
-    pieces = materialize(
+    placed = (
         one.select(F.col(tag).alias("_tag"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(ts).alias("_ts"), "_o")
-        .repartitionByRange("_tag", "_t").withColumn("_part", F.spark_partition_id()), "pieces",
+        .repartitionByRange("_tag", "_t").sortWithinPartitions("_tag", "_t").withColumn("_part", F.spark_partition_id())
     )
-    steps = pieces.select("_tag", "_part", "_t").groupBy("_tag", "_part").applyInPandas(
+    marked = placed.mapInArrow(_inner_marks(width), StructType([*placed.schema.fields, StructField("_kept", BooleanType())]))
+    pieces = materialize(marked, "pieces")
+    edges = pieces.filter(F.col("_kept").isNull())
+    steps = edges.select("_tag", "_part", "_t").groupBy("_tag", "_part").applyInPandas(
         lambda key, p: _summed(key, p, width), f"_tag {kind}, _part int, uptos array<long>, ends array<long>"
     )
     entries = steps.groupBy("_tag").applyInPandas(lambda key, p: _chained(key, p, width), f"_tag {kind}, _part int, before long")
-    marks = pieces.select("_tag", "_part", "_t").groupBy("_tag", "_part").cogroup(entries.groupBy("_tag", "_part")).applyInPandas(
+    marks = edges.select("_tag", "_part", "_t").groupBy("_tag", "_part").cogroup(entries.groupBy("_tag", "_part")).applyInPandas(
         lambda key, p, e: _marked(key, p, e, width), f"_tag {kind}, _part int, _t long"
     )
-    kept = pieces.join(marks, ["_tag", "_part", "_t"], "left_semi")
+    kept = pieces.filter("_kept").unionByName(edges.join(marks, ["_tag", "_part", "_t"], "left_semi"))
     return kept.select(*[F.col("_ts").alias(c) if c == ts else F.col("_tag").alias(c) if c == tag else F.col(f"_o.{c}").alias(c) for c in columns])
 
 
+def _inner_marks(width: int):  # noqa: ANN202
+    """Rows of one task, sorted by key and time, with ``_kept``: null for its first and last key, which may go on in other tasks."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).select(["_tag", "_t"]).combine_chunks()
+        tags = pa.concat_arrays(table["_tag"].chunks)
+        cut = pc.not_equal(tags[1:], tags[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+        starts = np.r_[0, np.flatnonzero(cut) + 1]
+        mark = _marks_of_groups(starts, table["_t"].to_numpy(), width)
+        open_ = np.zeros(len(mark), dtype=bool)
+        open_[: starts[1] if len(starts) > 1 else None] = True
+        open_[starts[-1] :] = True
+        a = 0
+        for batch in held:
+            part = slice(a, a := a + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark[part], mask=open_[part])], names=[*batch.schema.names, "_kept"])
+
+    return run
+
+
+def _marks_of_groups(starts: np.ndarray, times: np.ndarray, width: int) -> np.ndarray:
+    """Which times are kept, for many keys side by side: ``starts`` of the keys, times sorted within each."""
+    mark, at, ends = np.zeros(len(times), dtype=bool), starts.copy(), np.r_[starts[1:], len(times)]
+    while len(at) > 8:
+        mark[at] = True
+        low, high, goal = at + 1, ends.copy(), times[at] + width
+        while (looking := low < high).any():
+            mid = (low + high) // 2
+            early = looking & (times[np.minimum(mid, len(times) - 1)] < goal)
+            low, high = np.where(early, mid + 1, low), np.where(looking & ~early, mid, high)
+        on = low < ends
+        at, ends = low[on], ends[on]
+    for a, b in zip(at.tolist(), ends.tolist(), strict=True):
+        mark[a:b] |= _kept(times[a:b], width, NEVER)
+    return mark
+
+
 def _summed(key, p: pd.DataFrame, width: int) -> pd.DataFrame:  # noqa: ANN001
     uptos, ends = _step_map(np.sort(p["_t"].to_numpy()), width)
     return pd.DataFrame({"_tag": [key[0]], "_part": [key[1]], "uptos": [uptos], "ends": [ends]})
@@ -104,7 +151,8 @@ def _chained(key, p: pd.DataFrame, width: int) -> pd.DataFrame:  # noqa: ANN001
 def _marked(key, p: pd.DataFrame, e: pd.DataFrame, width: int) -> pd.DataFrame:  # noqa: ANN001
     times = np.sort(p["_t"].to_numpy())
     kept = times[_kept(times, width, int(e["before"].iloc[0]))]
-    return pd.DataFrame({"_tag": [key[0]] * len(kept), "_part": [key[1]] * len(kept), "_t": kept})
+    # a piece may keep nothing: an empty list would become a column of floats
+    return pd.DataFrame({"_tag": pd.Series([key[0]] * len(kept), dtype=object), "_part": np.full(len(kept), key[1], np.int32), "_t": kept})
 
 
 class FirstOfHorizon(StatefulProcessor):
